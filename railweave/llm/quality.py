@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from .arrow_text import text_udf
 
 SYMBOLS = b"#*$%&|<>"
-#: Learning reads at most so many labelled documents, and of each at most so many lines.
-SAMPLE_DOCS, SAMPLE_LINES = 2_000, 64
+#: Learning reads at most so many labelled documents. All their lines are cut into sequences
+#: of so many lines, wherever they stand, and at most so many sequences are learned from.
+SAMPLE_DOCS, SEQUENCE_LINES, SAMPLE_SEQUENCES = 2_000, 64, 6_000
 #: Share of a text's words that must stand in content lines.
 CONTENT_SHARE = 0.5
 FEATURES = ("bias", "symbols", "exclamations", "capitals", "digits", "repeated words", "word after itself", "ends as a sentence", "few words", "log words", "word length")
@@ -159,20 +160,24 @@ class LineModel:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "quality", sample: int = SAMPLE_DOCS) -> LineModel:
     """Line model from document labels: each line takes the label of its document.
 
-    Reads at most `sample` labelled documents (least hash of the id) and SAMPLE_LINES lines
-    of each; that bound is for learning alone. Without both labels every line is content.
+    Reads at most `sample` labelled documents (least hash of the id) and SAMPLE_SEQUENCES
+    of their line sequences (least hash of id and place); those bounds are for learning
+    alone. Without both labels every line is content.
     """
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_chosen")).agg(F.min(label_col).cast("int").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_chosen"), "_chosen").limit(sample)
-    texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_chosen")).select(F.col("_chosen").alias("id"), F.col("_label").alias("label"), F.col(text_col).alias("text"))
+    texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_chosen")).select(F.col("_chosen").cast("string").alias("id"), F.col("_label").alias("label"), F.col(text_col).alias("text"))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [np.array(lines_of(t or "")[0][:SAMPLE_LINES]).ravel().tolist() for t in batch["text"].to_pylist()]
-            yield pa.record_batch({"id": batch["id"].cast(pa.int64()), "label": batch["label"], "rows": pa.array(made, pa.list_(pa.float64()))})
-
-    got = texts.mapInArrow(rows, "id bigint, label int, rows array<double>").toArrow().sort_by("id")
-    pairs = [(np.array(r).reshape(-1, len(FEATURES)), y) for r, y in zip(got["rows"].to_pylist(), got["label"].to_pylist()) if r]
+            for doc, label, text in zip(*(batch[c].to_pylist() for c in ("id", "label", "text"))):
+                rows = lines_of(text or "")[0]
+                parts = [np.ravel(rows[at : at + SEQUENCE_LINES]) for at in range(0, len(rows), SEQUENCE_LINES)]
+                yield pa.record_batch({"id": pa.array([doc] * len(parts), pa.string()), "part": pa.array(range(len(parts)), pa.int32()), "label": pa.array([label] * len(parts), pa.int32()), "rows": pa.array(parts, pa.list_(pa.float64()))})
+
+    made = texts.mapInArrow(sequences, "id string, part int, label int, rows array<double>")
+    got = made.orderBy(F.xxhash64("id", "part"), "id", "part", "rows").limit(SAMPLE_SEQUENCES).select("label", "rows").toArrow()
+    pairs = [(np.array(r).reshape(-1, len(FEATURES)), y) for r, y in zip(got["rows"].to_pylist(), got["label"].to_pylist())]
     if len({y for _, y in pairs}) < 2:
         return LineModel.plain()
     return LineModel.fit([r for r, _ in pairs], [np.full(len(r), y) for r, y in pairs])
