@@ -31,6 +31,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, file))}
 
 
+class Pairs(dict):
+    """Remembered answers for pairs of tokens, left << 32 | right; starts anew when it is full."""
+
+    def __init__(self, decide):
+        super().__init__()
+        self.decide = decide
+
+    def __missing__(self, pair: int) -> bool:
+        if len(self) >= MEMO_PAIRS:
+            self.clear()
+        answer = self[pair] = self.decide(pair >> 32, pair & 0xFFFFFFFF)
+        return answer
+
+
 class Vocabulary:
     """Encoding and decoding of byte strings by merge ranks, where a token's id is its rank."""
 
@@ -51,7 +65,7 @@ class Vocabulary:
             self.matches.add_word(token.decode("latin-1"), (rank, len(token)))
         self.matches.make_automaton()
         self.size = {rank: len(token) for token, rank in ranks.items()}
-        self.pairs: dict[int, bool] = {}
+        self.pairs = Pairs(self.apart)
 
     def _merged(self, token: bytes, below: int) -> list[bytes]:
         """`token` after all merges of a rank under `below`."""
@@ -69,36 +83,29 @@ class Vocabulary:
         Undoes the merges that made the two, latest first, and looks whether at any time the
         tokens then at the seam had merged earlier than the step being undone.
         """
-        if (known := self.pairs.get(left << 32 | right)) is not None:
-            return known
-        a, b, undone, answer = left, right, len(self.ids) + 1, True
+        a, b, undone = left, right, len(self.ids) + 1
         while True:
             joint = self.ids.get(self.token[a] + self.token[b])
             # A merge of equal rank on the left of the seam comes first, on its right later.
             if joint is not None and joint < undone:
-                answer = False
-                break
+                return False
             split_a = a in self.halves and (a > b or b not in self.halves)
             if split_a:
                 undone, a = a, self.halves[a][1]
             elif b in self.halves:
                 undone, b = b + 1, self.halves[b][0]
             else:
-                break
-        if len(self.pairs) >= MEMO_PAIRS:
-            self.pairs.clear()
-        self.pairs[left << 32 | right] = answer
-        return answer
+                return True
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
         if (whole := self.ids.get(piece)) is not None:
             return [whole]
-        spelled, size, apart, longest = piece.decode("latin-1"), self.size, self.apart, self.matches.iter_long
+        spelled, size, apart, longest = piece.decode("latin-1"), self.size, self.pairs, self.matches.iter_long
         out: list[int] = []
         at, before = 0, None
         for _, (token, n) in longest(spelled):  # the longest matches, one after the other
-            if before is not None and not apart(before, token):
+            if before is not None and not apart[before << 32 | token]:
                 break
             out.append(token)
             before, at = token, at + n
@@ -107,7 +114,7 @@ class Vocabulary:
         closed: set[int] = set()
         token = self.shorter[token]
         while True:
-            while token is not None and (at + size[token] in closed or out and not apart(out[-1], token)):
+            while token is not None and (at + size[token] in closed or out and not apart[out[-1] << 32 | token]):
                 token = self.shorter[token]
             if token is None:
                 closed.add(at)
