@@ -64,6 +64,12 @@ class Vocabulary:
             self.shorter[rank] = next((made[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in made), None)
             self.matches.add_word(token.decode("latin-1"), (rank, len(token)))
         self.matches.make_automaton()
+        #: Tokens that lower ranks cannot make; trained vocabularies have none.
+        self.unmade = ahocorasick.Automaton()
+        for token in ranks.keys() - made.keys():
+            self.unmade.add_word(token.decode("latin-1"), token)
+        if len(self.unmade):
+            self.unmade.make_automaton()
         self.size = {rank: len(token) for token, rank in ranks.items()}
         self.pairs = Pairs(self.apart)
 
@@ -98,10 +104,16 @@ class Vocabulary:
                 return True
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one match of the pattern."""
+        """Ids of one match of the pattern.
+
+        Compatibility holds for tokens that lower ranks make; a piece in which another token
+        occurs is merged step by step.
+        """
         if (whole := self.ids.get(piece)) is not None:
             return [whole]
         spelled, size, apart, longest = piece.decode("latin-1"), self.size, self.pairs, self.matches.iter_long
+        if len(self.unmade) and next(self.unmade.iter(spelled), None):
+            return [self.ids[t] for t in self._merged(piece, max(self.token) + 1)]
         out: list[int] = []
         at, before = 0, None
         for _, (token, n) in longest(spelled):  # the longest matches, one after the other
