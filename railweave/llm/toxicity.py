@@ -113,49 +113,72 @@ def _lexicon(texts: DataFrame) -> dict[bytes, float]:
     return {bytes(r["term"]): r["w"] for r in telling.orderBy((F.col("w") * F.col("toxic")).desc(), "term").limit(LEXICON_TERMS).collect()}
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE_DOCS) -> DataFrame:
-    """(id, held_out, score, predicted) for each row of `docs`; score is a calibrated probability.
+def _dense(lexicon: dict[bytes, float], text_col: str):
+    udf = text_udf(lambda: lambda texts: [(features(t, lexicon),) for t in texts], dense=pa.list_(pa.float64()))
+    return array_to_vector(udf(F.col(text_col))["dense"])
+
+
+class Scorer:
+    """A learned lexicon, trees and calibration; or a score that all texts get, if there was nothing to tell apart."""
+
+    def __init__(self, lexicon: dict[bytes, float], trees=None, shape=None, constant: float = 0.0):
+        self.lexicon, self.trees, self.shape, self.constant = lexicon, trees, shape, constant
 
-    Learns from at most `sample` labelled rows outside fold 0: a lexicon of words and word
-    beginnings from folds 1 and 2, trees from fold 3, the isotonic calibration from fold 4.
-    Where a fold lacks a class, all four teach that part. Without both classes the score is
-    the one label there is, or 0. Null and empty texts are scored as texts without words;
-    null ids are scored and never learned from; of several labels for an id the larger
-    counts. Repeated ids keep their rows; other columns are not read; an empty table gives
-    an empty result.
+    def scored(self, rows: DataFrame, text_col: str, into: str = "_score") -> DataFrame:
+        """`rows` with a column `into`, each text scored where it lies; a column of that name is replaced."""
+        if self.trees is None:
+            return rows.withColumn(into, F.lit(self.constant))
+        # The rows travel as one struct, so no name of theirs meets those that the models add.
+        packed = rows.select(F.struct("*").alias("row"), _dense(self.lexicon, text_col).alias("features"))
+        told = self.shape.transform(_likely(self.trees.transform(packed)))
+        return told.select("row.*", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("_told")).drop(into).withColumnRenamed("_told", into)
+
+
+def _likely(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("raw", vector_to_array("probability")[1])
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "toxic", sample: int = SAMPLE_DOCS) -> Scorer:
+    """A scorer from at most `sample` labelled rows outside fold 0, those of the least hashes of their ids.
+
+    A lexicon of words and word beginnings comes from folds 1 and 2, trees from fold 3, the
+    isotonic calibration from fold 4. Where a fold lacks a class, all four teach that part.
+    Of several labels for an id the larger counts; null ids are never learned from. The
+    texts of the sample are written once, and everything is learned from those.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     taught = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_chosen")).agg(F.max(label_col).cast("int").alias("toxic"))
     taught = taught.withColumn("fold", fold("_chosen")).where(F.col("fold") != HELD_OUT).orderBy(F.xxhash64("_chosen"), "_chosen").limit(sample)
-    taught = checkpointed(taught.coalesce(1))
-    there = {(r["fold"], r["toxic"]) for r in taught.select("fold", "toxic").distinct().collect()}
-    every = tuple(range(1, 5))
-    folds_of = lambda wanted: wanted if all(any((f, y) in there for f in wanted) for y in (0, 1)) else every
-
-    held = F.coalesce(fold("id") == HELD_OUT, F.lit(False)).alias("held_out")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = checkpointed(own.join(F.broadcast(taught), F.col("id") == F.col("_chosen")).select("toxic", "fold", "text"))
+    there = {(r["fold"], r["toxic"]) for r in texts.select("fold", "toxic").distinct().collect()}
     classes = {y for _, y in there}
     if len(classes) < 2:
-        score = F.lit(float(max(classes, default=0)))
-        return own.select(F.col("id").alias(id_col), held, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
-
-    lexicon_rows = own.join(F.broadcast(taught.where(F.col("fold").isin(*folds_of(LEXICON_FOLDS)))), F.col("id") == F.col("_chosen"))
-    lexicon = _lexicon(lexicon_rows.select("toxic", "text"))
-    udf = text_udf(lambda: lambda texts: [(features(t, lexicon),) for t in texts], dense=pa.list_(pa.float64()))
-    dense = checkpointed(own.select("id", udf(F.col("text")).alias("f")).select("id", "f.dense"))
+        return Scorer({}, constant=float(max(classes, default=0)))
+    every = tuple(range(1, 5))
+    of = lambda wanted: F.col("fold").isin(*(wanted if all(any((f, y) in there for f in wanted) for y in classes) else every))
 
-    known = dense.join(F.broadcast(taught), F.col("id") == F.col("_chosen")).select(F.col("toxic").cast("double").alias("label"), "fold", array_to_vector("dense").alias("features"))
-    known = checkpointed(known.coalesce(4))
-    trees = GBTClassifier(maxDepth=3, maxIter=15, stepSize=0.3, minInstancesPerNode=2, seed=11)
-    model = trees.fit(known.where(F.col("fold").isin(*folds_of(TREE_FOLDS))))
-    likely = lambda frame: frame.withColumn("raw", vector_to_array("probability")[1])
+    lexicon = _lexicon(texts.where(of(LEXICON_FOLDS)).select("toxic", "text"))
+    known = checkpointed(texts.select(F.col("toxic").cast("double").alias("label"), "fold", _dense(lexicon, "text").alias("features"))).coalesce(4)
+    trees = GBTClassifier(maxDepth=3, maxIter=15, stepSize=0.3, minInstancesPerNode=2, seed=11).fit(known.where(of(TREE_FOLDS)))
     isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score")
-    shape = isotonic.fit(likely(model.transform(known.where(F.col("fold").isin(*folds_of(CALIBRATION_FOLDS))))).select("raw", "label"))
-    scored = likely(model.transform(dense.select("id", array_to_vector("dense").alias("features")))).select("id", "raw")
-    scored = shape.transform(scored).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")))
-    return scored.select(F.col("id").alias(id_col), held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    shape = isotonic.fit(_likely(trees.transform(known.where(of(CALIBRATION_FOLDS)))).select("raw", "label"))
+    return Scorer(lexicon, trees, shape)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE_DOCS) -> DataFrame:
+    """(id, held_out, score, predicted) for each row of `docs`; score is a calibrated probability.
+
+    Without both classes among the labels the score is the one label there is, or 0. Null
+    and empty texts are scored as texts without words; null ids are scored and never learned
+    from. Repeated ids keep their rows; other columns are not read; an empty table gives an
+    empty result.
+    """
+    scorer = learn(docs, labels, id_col, text_col, label_col, sample)
+    scored = scorer.scored(docs.select(F.col(id_col), F.col(text_col)), text_col)
+    held = F.coalesce(fold(id_col) == HELD_OUT, F.lit(False)).alias("held_out")
+    return scored.select(id_col, held, F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that are not predicted toxic, all columns; rows without an id stay."""
-    gone = toxicity_scores(docs, labels, id_col, text_col).where("predicted = 1").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The rows of `docs` that are not predicted toxic, all columns; each row is judged by its own text, without a join."""
+    return learn(docs, labels, id_col, text_col).scored(docs, text_col).where("_score < 0.5").drop("_score")
