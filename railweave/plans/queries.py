@@ -2,10 +2,11 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..checkpoints import stored
 from ..functions import dates, geo, text
-from ..operators import graph, itinerary, render, resolve, solve, store, validate
+from ..operators import graph, itinerary, regions, render, resolve, solve, store, validate
 from .model import SQL, haversine_sql as hav, line_hops, placed_stops, stations, stops, table, trains
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,8 +124,6 @@ SELECT e.line, e.a AS source, e.b AS target, round(y.far - x.far, 2) AS cost, CA
 def line_path_cost(spark, d):
     """Solved paths from the first to the ninth station of each line: along a line, cost is track length."""
     s = stations(spark, d)
-    from pyspark.sql import Window
-
     ranked = s.withColumn("k", F.row_number().over(Window.partitionBy("line").orderBy("station_id"))).where("k <= 9")
     ends = ranked.groupBy("line").agg(F.min("station_id").alias("a"), F.max("station_id").alias("b")).where("a <> b")
     end = lambda c: F.array(F.struct(F.col(c).alias("node"), F.lit(0.0).alias("snap_m")))
@@ -526,3 +525,32 @@ def attempt_ladder(spark, d):
 @query()
 def network_hash(spark, d):
     return graph.content_hash(graph.section_edges(line_hops(spark, d)))
+
+
+@query()
+def solve_sections(spark, d):
+    """A ride for each supplier between two stations, solved over lines, transfers and the attempt ladder."""
+    s, none = stations(spark, d), F.array().cast("array<string>")
+    rails = graph.section_edges(line_hops(spark, d)).drop("section_id").withColumns({"is_connector": F.lit(False), "metres": F.col("length_m")})
+    places = lambda end: s.select(F.col("station_id").alias(end), F.col("lon").alias(f"{end}_lon"), F.col("lat").alias(f"{end}_lat"))
+    edges = rails.unionByName(_links(spark, d)).join(places("src"), "src").join(places("dst"), "dst")
+    key, n = F.col("s_suppkey"), s.agg(F.count("*").alias("n"))
+    asked = table(spark, d, "supplier").crossJoin(F.broadcast(n)).select(key.alias("section_id"), (key % F.col("n")).alias("from_station_id"), ((key * 7 + 3) % F.col("n")).alias("to_station_id")).where("from_station_id <> to_station_id")
+    told = lambda end: s.select(F.col("station_id").alias(f"{end}_station_id"), *(F.col(c).alias(f"{end}_{c}") for c in ("line", "operator", "lon", "lat")))
+    asked = asked.join(told("from"), "from_station_id").join(told("to"), "to_station_id")
+    same = lambda c: F.when(F.col(f"from_{c}") == F.col(f"to_{c}"), F.array(f"from_{c}")).otherwise(none)
+    hints = asked.select("section_id", none.alias("explicit_lines"), none.alias("explicit_operators"), same("line").alias("common_lines"), same("operator").alias("common_operators"))
+    steps = solve.attempt_ladder(hints).join(asked, "section_id")
+    end = lambda c: F.array(F.struct(F.col(c).alias("node"), F.lit(0.0).alias("snap_m")))
+    rows = steps.select("section_id", F.col("attempt").cast("int").alias("attempt"), "req_lines", "req_operators", F.when(F.col("mode") == "unbiased", none).otherwise(same("line")).alias("pref_lines"), none.alias("pref_operators"), F.array(*map(F.lit, "12345")).alias("allowed"), F.col("home").alias("hard"), end("from_station_id").alias("sources"), end("to_station_id").alias("targets"), "from_lon", "from_lat", "to_lon", "to_lat")
+    return regions.solve_sections(rows, edges, stored).select("section_id", "attempt", "source", "target", F.round("metres", 2).alias("metres"), F.size("path").alias("nodes"))
+
+
+def _links(spark, d):
+    """Connectors both ways between stations of one name, wherever they are: the only crossings between lines here."""
+    s = stations(spark, d).select("norm_name", "station_id", "lon", "lat")
+    w = Window.partitionBy("norm_name").orderBy("station_id")
+    pairs = s.select(F.col("station_id").alias("src"), F.lead("station_id").over(w).alias("dst"), "lon", "lat", F.lead("lon").over(w).alias("o_lon"), F.lead("lat").over(w).alias("o_lat")).where("dst IS NOT NULL")
+    gap = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("o_lon"), F.col("o_lat"))
+    blank = {c: F.lit("") for c in ("line", "operator", "institution")}
+    return graph.both_ways(pairs.select("src", "dst", (gap + graph.TRANSFER_COST_M).alias("length_m"), gap.alias("metres")).withColumns(blank | {"is_connector": F.lit(True)}))

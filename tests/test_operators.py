@@ -191,3 +191,42 @@ def test_every_query_has_columns_and_sql_twins_match_by_name():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_regions_equal_the_whole_network(spark):
+    """A grid of streets, solved region by region and at once; small margins force the wider waves."""
+    from railweave.operators import regions
+
+    random.seed(12)
+    at = {x * 12 + y: (130 + x * 0.05, 35 + y * 0.05) for x in range(12) for y in range(12)}
+    pairs = [(n, m) for n in at for m in (n + 12, n + 1) if m in at and not (m == n + 1 and m % 12 == 0) and random.random() < 0.75]
+    rows = [(a, b, random.uniform(1, 9) * 1000, "L", "O", "1", False, *at[a], *at[b]) for a, b in pairs]
+    rows += [(b, a, w, *rest[:4], *at[b], *at[a]) for a, b, w, *rest in rows]
+    edges = spark.createDataFrame(rows, "src bigint, dst bigint, length_m double, line string, operator string, institution string, is_connector boolean, src_lon double, src_lat double, dst_lon double, dst_lat double")
+    asked = [(k, 0, *random.sample(sorted(at), 2)) for k in range(25)] + [(99, 0, 0, 5000)]
+    none = F.array().cast("array<string>")
+    end = lambda c: F.array(F.struct(F.col(c).alias("node"), F.lit(0.0).alias("snap_m")))
+    base = spark.createDataFrame([(k, t, a, b, *at[a], *at.get(b, (130.0, 35.0))) for k, t, a, b in asked], "section_id bigint, attempt int, a bigint, b bigint, from_lon double, from_lat double, to_lon double, to_lat double")
+    sections = base.select("section_id", "attempt", none.alias("req_lines"), none.alias("req_operators"), none.alias("pref_lines"), none.alias("pref_operators"), F.array(F.lit("1")).alias("allowed"), F.lit(False).alias("hard"), end("a").alias("sources"), end("b").alias("targets"), "from_lon", "from_lat", "to_lon", "to_lat")
+    got = {r["section_id"]: r["cost"] for r in regions.solve_sections(sections, edges, lambda f: f.checkpoint(), margins=((1000.0, 0.1), (9000.0, 0.5)), whole_parts=3).collect()}
+    net = solve.Network(*(np.array(x) for x in zip(*((a, b, w) for a, b, w, *_ in rows))))
+    for k, _, a, b in asked:
+        found = net.search({a: 0.0}, {b})
+        if k in got:  # a path off the rim is the best within its region; a wider one can be shorter still
+            assert got[k] >= found[b][0] - 1e-6
+        else:
+            assert b not in found
+    whole = {r["section_id"]: r["cost"] for r in regions.solve_sections(sections, edges, lambda f: f.checkpoint(), margins=((1.0e6, 1.0),)).collect()}
+    assert set(whole) == set(got) and all(c == pytest.approx(net.search({a: 0.0}, {b})[b][0]) for k, _, a, b in asked if k in whole for c in [whole[k]])
+
+
+def test_attempts_in_one_pass_and_detours(spark):
+    edges = [(1, 2, 50_000.0, "A"), (2, 1, 50_000.0, "A")]
+    far = {1: (130.0, 35.0), 2: (130.02, 35.0)}
+    told = spark.createDataFrame([(0, a, b, m, line, "o", "1", False, *far[a]) for a, b, m, line in edges], "region bigint, src bigint, dst bigint, length_m double, line string, operator string, institution string, is_connector boolean, src_lon double, src_lat double")
+    schema = "region bigint, section_id bigint, attempt int, req_lines array<string>, req_operators array<string>, pref_lines array<string>, pref_operators array<string>, allowed array<string>, hard boolean, sources array<struct<node:bigint,snap_m:double>>, targets array<struct<node:bigint,snap_m:double>>"
+    row = lambda attempt, lines: (0, 1, attempt, lines, [], ["B"], [], ["1"], False, [(1, 5.0)], [(2, 10.0)])
+    s = spark.createDataFrame([row(0, ["C"]), row(1, []), row(2, ["A"])], schema)
+    assert solve.solve_wave(s, told).count() == 0  # 50 km for 1.8 km is a detour
+    got = solve.solve_wave(s, told.drop("src_lon", "src_lat")).first()
+    assert got["attempt"] == 1 and got["cost"] == 450_000 and got["scored"] == 450_000 + 60 + 400_000 and got["metres"] == 50_000
