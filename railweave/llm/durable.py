@@ -1,18 +1,5 @@
-"""Cutting lineage in the folder that the whole cluster shares."""
+"""Cutting lineage, as the rest of the library does it."""
 
-import tempfile
+from ..checkpoints import stored as checkpointed
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """`frame`, written to the session's spark.checkpoint.dir and read again from there.
-
-    A folder of our own is set only where the session names none (a single machine, as in
-    tests). The files outlive executors, so later stages survive losing any of them.
-    """
-    spark: SparkSession = frame.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="railweave-checkpoint-"))
-    return frame.checkpoint(eager=True)
+__all__ = ["checkpointed"]

@@ -158,7 +158,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected_components(fingerprint_edges(prints, radius)).withColumnRenamed("node", "fp")
     labelled = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    groups = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written first, so that the join below has plain exchanges on both sides and Spark can split a large group.
+    groups = checkpointed(labelled.groupBy("root").agg(F.min("least").alias("component_id")))
     named = labelled.select("fp", "root").join(groups, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
