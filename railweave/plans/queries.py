@@ -529,13 +529,14 @@ def network_hash(spark, d):
 
 @query()
 def solve_sections(spark, d):
-    """A ride for each supplier between two stations, solved over lines, transfers and the attempt ladder."""
+    """A ride for each supplier from its station to the third next of the line, solved over lines, transfers and the attempt ladder."""
     s, none = stations(spark, d), F.array().cast("array<string>")
     rails = graph.section_edges(line_hops(spark, d)).drop("section_id").withColumns({"is_connector": F.lit(False), "metres": F.col("length_m")})
     places = lambda end: s.select(F.col("station_id").alias(end), F.col("lon").alias(f"{end}_lon"), F.col("lat").alias(f"{end}_lat"))
     edges = rails.unionByName(_links(spark, d)).join(places("src"), "src").join(places("dst"), "dst")
     key, n = F.col("s_suppkey"), s.agg(F.count("*").alias("n"))
-    asked = table(spark, d, "supplier").crossJoin(F.broadcast(n)).select(key.alias("section_id"), (key % F.col("n")).alias("from_station_id"), ((key * 7 + 3) % F.col("n")).alias("to_station_id")).where("from_station_id <> to_station_id")
+    third = s.select(F.col("station_id").alias("from_station_id"), F.lead("station_id", 3).over(Window.partitionBy("line").orderBy("station_id")).alias("to_station_id")).where("to_station_id IS NOT NULL")
+    asked = table(spark, d, "supplier").crossJoin(F.broadcast(n)).select(key.alias("section_id"), (key % F.col("n")).alias("from_station_id")).join(third, "from_station_id")
     told = lambda end: s.select(F.col("station_id").alias(f"{end}_station_id"), *(F.col(c).alias(f"{end}_{c}") for c in ("line", "operator", "lon", "lat")))
     asked = asked.join(told("from"), "from_station_id").join(told("to"), "to_station_id")
     same = lambda c: F.when(F.col(f"from_{c}") == F.col(f"to_{c}"), F.array(f"from_{c}")).otherwise(none)
