@@ -367,6 +367,34 @@ def overlap_runs(spark, d):
     return render.overlap_runs(k.join(render.shared_segments(k), ["seg_key", "train_id"]))
 
 
+# The SQL of shared_segments and overlap_runs is fixed and takes one train of fifty; these two take all trains and real stations.
+_SEGMENTS_ALL = """, sg AS (SELECT * FROM (SELECT train_id, idx AS seq, station_id AS src, lead(station_id) OVER (PARTITION BY train_id ORDER BY idx) AS dst FROM sp) WHERE dst IS NOT NULL),
+sk AS (SELECT *, CAST(least(src, dst) AS VARCHAR) || '-' || CAST(greatest(src, dst) AS VARCHAR) AS seg_key FROM sg),
+once AS (SELECT DISTINCT seg_key, train_id FROM sk),
+sh AS (SELECT seg_key, train_id, count(*) OVER (PARTITION BY seg_key) AS trains, dense_rank() OVER (PARTITION BY seg_key ORDER BY train_id) - 1 AS slot FROM once)
+"""
+
+
+def _keyed_all(spark, d):
+    pairs = itinerary.adjacent_pairs(stops(spark, d), "station_id")
+    a, b = F.col("from_station_id"), F.col("to_station_id")
+    return pairs.select("train_id", F.col("train_id").alias("train_ord"), F.col("segment").alias("seq"), F.concat_ws("-", F.least(a, b).cast("string"), F.greatest(a, b).cast("string")).alias("seg_key"))
+
+
+@query(_SEGMENTS_ALL + "SELECT seg_key, train_id, trains, CAST(CASE WHEN trains > 1 THEN slot ELSE 0 END AS INTEGER) AS slot FROM sh")
+def shared_segments_all(spark, d):
+    return render.shared_segments(_keyed_all(spark, d))
+
+
+@query(_SEGMENTS_ALL + """, x AS (SELECT sk.train_id, sk.seq, sh.trains, CASE WHEN sh.trains > 1 THEN sh.slot ELSE 0 END AS slot FROM sk JOIN sh ON sk.seg_key = sh.seg_key AND sk.train_id = sh.train_id),
+y AS (SELECT *, CASE WHEN lag(trains) OVER w = trains AND lag(slot) OVER w = slot THEN 0 ELSE 1 END AS s FROM x WINDOW w AS (PARTITION BY train_id ORDER BY seq)),
+z AS (SELECT *, sum(s) OVER (PARTITION BY train_id ORDER BY seq) - 1 AS run FROM y)
+SELECT train_id, CAST(run AS BIGINT) AS run, min(seq) AS first_seq, max(seq) + 1 AS last_seq, min(trains) AS trains, CAST(min(slot) AS INTEGER) AS slot FROM z GROUP BY train_id, run""")
+def overlap_runs_all(spark, d):
+    k = _keyed_all(spark, d)
+    return render.overlap_runs(k.join(render.shared_segments(k), ["seg_key", "train_id"]))
+
+
 @query(_SEGMENTS + """, fo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY train_id, least(src, dst), greatest(src, dst) ORDER BY seq) AS rn FROM sg WHERE src <> dst) WHERE rn = 1),
 br AS (SELECT *, CASE WHEN lag(dst) OVER (PARTITION BY train_id ORDER BY seq) = src THEN 0 ELSE 1 END AS s FROM fo)
 SELECT train_id, seq, src, dst, CAST(sum(s) OVER (PARTITION BY train_id ORDER BY seq) - 1 AS BIGINT) AS line FROM br""")
