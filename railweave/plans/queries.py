@@ -134,6 +134,27 @@ def line_path_cost(spark, d):
     return found.join(ends.select("line", F.col("a").alias("section_id")), "section_id").select("line", "source", "target", _round(F.col("cost")).alias("cost"), F.size("path").cast("bigint").alias("nodes"))
 
 
+@query(f""", c AS (SELECT station_id, line, sum(CASE WHEN m IS NULL THEN 0 ELSE m END) OVER (PARTITION BY line ORDER BY station_id) AS far, row_number() OVER (PARTITION BY line ORDER BY station_id) AS k FROM (
+  SELECT station_id, line, {hav('lag(lon) OVER w', 'lag(lat) OVER w', 'lon', 'lat')} AS m FROM st WINDOW w AS (PARTITION BY line ORDER BY station_id))),
+n AS (SELECT line, max(k) AS n FROM c GROUP BY line)
+SELECT x.line, x.station_id AS source, y.station_id AS target, round(y.far - x.far, 2) AS cost, CAST(y.k - x.k + 1 AS BIGINT) AS nodes FROM c x JOIN n ON x.line = n.line JOIN c y ON y.line = x.line AND y.k = least(x.k + 9, n.n) WHERE y.k > x.k""")
+def line_path_cost_all(spark, d):
+    """Solved paths from every station to the ninth next of its line, or to the last where fewer follow; line_path_cost, whose SQL is fixed, asks one path a line."""
+    w = Window.partitionBy("line").orderBy("station_id")
+    ahead, rest = w.rowsBetween(0, 9), w.rowsBetween(0, Window.unboundedFollowing)
+    s = stations(spark, d)
+    asked = s.select(F.col("station_id").alias("section_id"), "line", F.coalesce(F.lead("station_id", 9).over(w), F.max("station_id").over(rest)).alias("b"), *(f(c).over(ahead).alias(f"{end}_{c}") for end, f in (("from", F.min), ("to", F.max)) for c in ("lon", "lat"))).where("section_id <> b")
+    end = lambda c: F.array(F.struct(F.col(c).alias("node"), F.lit(0.0).alias("snap_m")))
+    none = F.array().cast("array<string>")
+    rows = asked.select("section_id", F.array("line").alias("req_lines"), none.alias("req_operators"), F.array("line").alias("pref_lines"), none.alias("pref_operators"), F.array(*map(F.lit, "12345")).alias("allowed"), F.lit(False).alias("hard"), end("section_id").alias("sources"), end("b").alias("targets"), "from_lon", "from_lat", "to_lon", "to_lat")
+    places = lambda e: s.select(F.col("station_id").alias(e), F.col("lon").alias(f"{e}_lon"), F.col("lat").alias(f"{e}_lat"))
+    edges = graph.section_edges(line_hops(spark, d)).select("src", "dst", "length_m", "line", "operator", "institution", F.lit(False).alias("is_connector")).join(places("src"), "src").join(places("dst"), "dst")
+    placed = stored(regions.spread(regions.with_region(rows, 0.0, 0.0)))  # the box of the stations ahead holds the whole path
+    # Lines zigzag, so detours are not judged: that needs src_lon.
+    found = solve.solve_wave(placed.drop("x0", "x1", "y0", "y1"), regions.edges_in(placed, edges).drop("src_lon", "src_lat", "dst_lon", "dst_lat"))
+    return found.join(asked.select("line", "section_id"), "section_id").select("line", "source", "target", _round(F.col("cost")).alias("cost"), F.size("path").cast("bigint").alias("nodes"))
+
+
 @query(f""", e AS (SELECT src, dst, {hav('a_lon', 'a_lat', 'b_lon', 'b_lat')} AS m, line <> 'L3' AS ol, operator <> 'O3' AS oo, institution NOT IN ('1', '2') AS oi FROM hop)
 SELECT src, dst, round(m + CASE WHEN oi THEN m * 180 + 5000 ELSE 0 END + CASE WHEN ol THEN m * 8 ELSE 0 END + CASE WHEN oo THEN m * 6 ELSE 0 END, 2) AS soft,
   round(m + CASE WHEN ol THEN m * 8 ELSE 0 END + CASE WHEN oo THEN m * 6 ELSE 0 END, 2) AS hard FROM e""")

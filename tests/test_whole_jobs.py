@@ -1,7 +1,7 @@
 """Queries that do the whole job: every row of the tables takes part."""
 
 from railweave.plans import queries
-from railweave.plans.model import stops
+from railweave.plans.model import line_hops, stops
 
 SF = "/root/testdata/sf0.001"
 
@@ -10,3 +10,9 @@ def test_all_trains_share_segments(spark):
     trains = {r[0] for r in stops(spark, SF).where("idx > 0").select("train_id").distinct().collect()}
     for name in ("shared_segments_all", "overlap_runs_all"):
         assert {r["train_id"] for r in queries.QUERIES[name](spark, SF).collect()} == trains
+
+
+def test_all_stations_are_in_line_paths(spark):
+    hops = {r[0] for r in line_hops(spark, SF).select("section_id").collect()}
+    got = queries.line_path_cost_all(spark, SF).collect()
+    assert {r["source"] for r in got} == hops and len(got) == len(hops)
