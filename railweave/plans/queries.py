@@ -578,22 +578,30 @@ def network_hash(spark, d):
 
 @query()
 def solve_sections(spark, d):
-    """A ride for each supplier from its station to the third next of the line, solved over lines, transfers and the attempt ladder."""
+    """The sections between adjacent stops of all trains: distinct pairs of stations solved once over lines, transfers and the attempt ladder, and joined back.
+
+    outcome: solved; detour, with the drawn length of the shortest path that was rejected; no path; same station.
+    """
     s, none = stations(spark, d), F.array().cast("array<string>")
     rails = graph.section_edges(line_hops(spark, d)).drop("section_id").withColumns({"is_connector": F.lit(False), "metres": F.col("length_m")})
     places = lambda end: s.select(F.col("station_id").alias(end), F.col("lon").alias(f"{end}_lon"), F.col("lat").alias(f"{end}_lat"))
     edges = rails.unionByName(_links(spark, d)).join(places("src"), "src").join(places("dst"), "dst")
-    key, n = F.col("s_suppkey"), s.agg(F.count("*").alias("n"))
-    third = s.select(F.col("station_id").alias("from_station_id"), F.lead("station_id", 3).over(Window.partitionBy("line").orderBy("station_id")).alias("to_station_id")).where("to_station_id IS NOT NULL")
-    asked = table(spark, d, "supplier").crossJoin(F.broadcast(n)).select(key.alias("section_id"), (key % F.col("n")).alias("from_station_id")).join(third, "from_station_id")
+    pairs = itinerary.adjacent_pairs(stops(spark, d), "station_id").select("train_id", "segment", "from_station_id", "to_station_id")
+    distinct = pairs.where("from_station_id <> to_station_id").select("from_station_id", "to_station_id").distinct()
+    top = s.agg((F.max("station_id") + 1).alias("n"))
+    asked = distinct.crossJoin(F.broadcast(top)).withColumn("section_id", F.col("from_station_id") * F.col("n") + F.col("to_station_id")).drop("n")
     told = lambda end: s.select(F.col("station_id").alias(f"{end}_station_id"), *(F.col(c).alias(f"{end}_{c}") for c in ("line", "operator", "lon", "lat")))
-    asked = asked.join(told("from"), "from_station_id").join(told("to"), "to_station_id")
+    asked = stored(asked.join(told("from"), "from_station_id").join(told("to"), "to_station_id"))
     same = lambda c: F.when(F.col(f"from_{c}") == F.col(f"to_{c}"), F.array(f"from_{c}")).otherwise(none)
     hints = asked.select("section_id", none.alias("explicit_lines"), none.alias("explicit_operators"), same("line").alias("common_lines"), same("operator").alias("common_operators"))
     steps = solve.attempt_ladder(hints).join(asked, "section_id")
     end = lambda c: F.array(F.struct(F.col(c).alias("node"), F.lit(0.0).alias("snap_m")))
     rows = steps.select("section_id", F.col("attempt").cast("int").alias("attempt"), "req_lines", "req_operators", F.when(F.col("mode") == "unbiased", none).otherwise(same("line")).alias("pref_lines"), none.alias("pref_operators"), F.array(*map(F.lit, "12345")).alias("allowed"), F.col("home").alias("hard"), end("from_station_id").alias("sources"), end("to_station_id").alias("targets"), "from_lon", "from_lat", "to_lon", "to_lat")
-    return regions.solve_sections(rows, edges, stored).select("section_id", "attempt", "source", "target", F.round("metres", 2).alias("metres"), F.size("path").alias("nodes"))
+    # Trains that leave one station share its searches.
+    found = regions.solve_sections(rows, edges, stored, rows_a_task=8000, by="sources", rejected=True)
+    told = found.join(asked.select("section_id", "from_station_id", "to_station_id"), "section_id").select("from_station_id", "to_station_id", "attempt", F.round("metres", 2).alias("metres"), F.size("path").alias("nodes"), F.when(F.col("path").isNull(), "detour").otherwise("solved").alias("outcome"))
+    unsolved = F.when(F.col("from_station_id") == F.col("to_station_id"), "same station").otherwise("no path")
+    return pairs.join(told, ["from_station_id", "to_station_id"], "left").withColumn("outcome", F.coalesce("outcome", unsolved))
 
 
 def _links(spark, d):

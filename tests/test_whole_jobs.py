@@ -1,5 +1,6 @@
 """Queries that do the whole job: every row of the tables takes part."""
 
+from railweave.operators import regions, solve
 from railweave.plans import queries
 from railweave.plans.model import line_hops, stops
 
@@ -16,3 +17,21 @@ def test_all_stations_are_in_line_paths(spark):
     hops = {r[0] for r in line_hops(spark, SF).select("section_id").collect()}
     got = queries.line_path_cost_all(spark, SF).collect()
     assert {r["source"] for r in got} == hops and len(got) == len(hops)
+
+
+def test_all_stop_pairs_are_solved(spark):
+    pairs = {(r["train_id"], r["idx"] - 1) for r in stops(spark, SF).where("idx > 0").select("train_id", "idx").collect()}
+    got = queries.solve_sections(spark, SF).collect()
+    assert {(r["train_id"], r["segment"]) for r in got} == pairs and len(got) == len(pairs)
+    assert {r["outcome"] for r in got} >= {"solved"} and all((r["attempt"] is None) == (r["outcome"] != "solved") for r in got)
+
+
+def test_parallel_edges_stay(spark):
+    edge = (1, 2, 5.0, "a", "x", "1", False, 0.1, 0.1, 0.1, 0.1)
+    names = ["src", "dst", "length_m", "line", "operator", "institution", "is_connector", "src_lon", "src_lat", "dst_lon", "dst_lat"]
+    edges = spark.createDataFrame([edge, (1, 2, 9.0, "a", "y", "1", *edge[6:])], names)
+    box = spark.createDataFrame([("r", 0, 0, 0, 0)], "region string, x0 int, x1 int, y0 int, y1 int")
+    assert sorted(r["operator"] for r in regions.edges_in(box, edges).collect()) == ["x", "y"]
+    none = "array()"
+    s = spark.range(1).selectExpr("'r' AS region", "7L AS section_id", f"CAST({none} AS array<string>) AS req_lines", "array('y') AS req_operators", f"CAST({none} AS array<string>) AS pref_lines", f"CAST({none} AS array<string>) AS pref_operators", "array('1') AS allowed", "false AS hard", "array(named_struct('node', 1L, 'snap_m', 0.0D)) AS sources", "array(named_struct('node', 2L, 'snap_m', 0.0D)) AS targets")
+    assert solve.solve_wave(s, regions.edges_in(box, edges).drop("src_lon", "src_lat")).first()["metres"] == 9.0
