@@ -26,7 +26,31 @@ TEMPLATES = {
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "All-rights-reserved": "All rights reserved.",
+    "BSD-notice": "Released under the BSD License.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "CC-BY-4.0-short-notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-short-notice": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
+TEMPLATES |= {
+    "GPL-2.0": TEMPLATES["GPL-3.0"].replace("version 3", "version 2"),
+    "LGPL-2.1": TEMPLATES["GPL-3.0"].replace("This program", "This library").replace("General Public", "Lesser General Public").replace("version 3", "version 2.1"),
+    "LGPL-3.0": TEMPLATES["GPL-3.0"].replace("This program", "This library").replace("General Public", "Lesser General Public"),
+    "AGPL-3.0": TEMPLATES["GPL-3.0"].replace("General Public", "Affero General Public"),
+    "BSD-2-Clause": TEMPLATES["BSD-3-Clause"].partition(" Neither")[0],
+}
+#: Phrases that tell a licence from its kin: each must be aligned word by word, without other words between.
+IDENTITY = {
+    "MIT-notice": ["mit"], "BSD-notice": ["bsd"], "BSD-3-Clause": ["endorse"], "Apache-2.0-notice": ["apache license", "2.0"], "Apache-2.0": ["apache license", "2.0"], "MPL-2.0": ["mozilla public license", "2.0"], "Unlicense": ["public domain"],
+    "CC-BY-NC-4.0-notice": ["cc by nc 4.0"], "CC-BY-4.0-short-notice": ["cc by 4.0"], "CC-BY-SA-4.0-short-notice": ["cc by sa 4.0"], "CC-BY-4.0-notice": ["attribution 4.0"], "CC-BY-SA-4.0-notice": ["attribution sharealike 4.0"],
+} | {f"{kind}-{version}{form}": [f"{word}general public license", version.removesuffix(".0")] for kind, word, versions in (("GPL", "", ("2.0", "3.0")), ("LGPL", "lesser ", ("2.1", "3.0")), ("AGPL", "affero ", ("3.0",))) for version in versions for form in ("", "-notice")}
+#: Words that make a phrase that they precede another one.
+KIN = frozenset(("lesser", "library", "affero"))
+#: Templates that are part of another: not reported within its text.
+PART_OF = {"BSD-2-Clause": "BSD-3-Clause"}
 
 WORD = re.compile(r"[a-z0-9]+(?:[.-][0-9]+)*")
 #: Share of a template's words that must be aligned.
@@ -83,11 +107,23 @@ def patience(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def identified(pairs: list[tuple[int, int]], text: list[str], template: list[str], phrases: list[list[str]]) -> bool:
+    """Whether each phrase is aligned in one piece at one of its places in the template, and no word of KIN precedes it."""
+    at = {b: a for a, b in pairs}
+    for phrase in phrases:
+        places = [k for k in range(len(template) - len(phrase) + 1) if template[k : k + len(phrase)] == phrase]
+        whole = [at[k] for k in places if k in at and all(at.get(k + i) == at[k] + i for i in range(len(phrase)))]
+        if not whole or any(a and text[a - 1] in KIN for a in whole):
+            return False
+    return True
+
+
 @lru_cache(maxsize=4)
 def _prepared(templates: tuple[tuple[str, str], ...]):
-    worded = [(name, words_of(text)) for name, text in templates]
+    """(name, words, phrases of IDENTITY) of each template, and the templates of each telling word; own templates have no phrases."""
+    worded = [(name, words_of(text), [p.split() for p in IDENTITY.get(name, ())] if TEMPLATES.get(name) == text else []) for name, text in templates]
     telling: dict[str, list[int]] = {}
-    for k, (_, words) in enumerate(worded):
+    for k, (_, words, _) in enumerate(worded):
         for w in set(words) - COMMON:
             telling.setdefault(w, []).append(k)
     return worded, telling
@@ -98,7 +134,8 @@ def find(text: str, templates: tuple[tuple[str, str], ...], coverage: float = CO
 
     Words of a template that are not common ones mark places; around them the text is cut
     into regions no further apart than the template is long, so that every copy of a notice
-    is aligned by itself. A region aligned well enough is taken off, and the rest tried again.
+    is aligned by itself. A region aligned well enough, with the phrases of IDENTITY, is taken
+    off, and the rest tried again.
     """
     worded, telling = _prepared(templates)
     words = words_of(text)
@@ -108,7 +145,7 @@ def find(text: str, templates: tuple[tuple[str, str], ...], coverage: float = CO
             marks.setdefault(k, []).append(at)
     found = []
     for k, places in marks.items():
-        name, template = worded[k]
+        name, template, phrases = worded[k]
         n = len(template)
         if not len(set(words[p] for p in places)) >= max(1, coverage * len(set(template) - COMMON) - 0.2 * n):
             continue
@@ -124,16 +161,18 @@ def find(text: str, templates: tuple[tuple[str, str], ...], coverage: float = CO
             step = start
             while step < end:
                 upto = min(end, step + 2 * n)
+                fits = lambda pairs: len(pairs) >= coverage * n and identified(pairs, words[step:upto], template, phrases)  # noqa: B023, E731
                 pairs = patience(words[step:upto], template)
-                if len(pairs) < coverage * n and upto - step > n:
-                    short = patience(words[step : step + n], template)
-                    pairs = short if len(short) > len(pairs) else pairs
-                if len(pairs) >= coverage * n:
+                if not fits(pairs) and upto - step > n:
+                    pairs = patience(words[step : step + n], template)
+                if fits(pairs):
                     found.append((name, len(pairs) / n, len(pairs), step + pairs[0][0], step + pairs[-1][0]))
                     step += pairs[-1][0] + 1
                 else:
                     later = [p for p in places if p > step]
                     step = max(step + 1, later[0] - 1 if later else end) if upto < end or later and later[0] < end else end
+    wider = {part: [(f[3], f[4]) for f in found if f[0] == whole] for part, whole in PART_OF.items()}
+    found = [f for f in found if not any(a <= f[4] and f[3] <= b for a, b in wider.get(f[0], ()))]
     return sorted(found, key=lambda x: (-x[1], -x[2], x[0], x[3]))
 
 
