@@ -35,3 +35,17 @@ def test_parallel_edges_stay(spark):
     none = "array()"
     s = spark.range(1).selectExpr("'r' AS region", "7L AS section_id", f"CAST({none} AS array<string>) AS req_lines", "array('y') AS req_operators", f"CAST({none} AS array<string>) AS pref_lines", f"CAST({none} AS array<string>) AS pref_operators", "array('1') AS allowed", "false AS hard", "array(named_struct('node', 1L, 'snap_m', 0.0D)) AS sources", "array(named_struct('node', 2L, 'snap_m', 0.0D)) AS targets")
     assert solve.solve_wave(s, regions.edges_in(box, edges).drop("src_lon", "src_lat")).first()["metres"] == 9.0
+
+
+def test_all_events_are_in_store_or_batch(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    last = events.agg({"event_id": "max"}).first()[0]
+    got = queries.upsert_counters_all(spark, SF).first()
+    assert got["trains_total"] == events.where(f"2 * event_id > {last}").count()
+    assert got["trains_after"] == events.select("user_id").distinct().count()
+
+
+def test_sections_of_all_pairs_match_unless_changed(spark):
+    got = queries.section_match_all(spark, SF).collect()
+    assert all(r["section"] == r["segment"] for r in got if r["segment"] % 6 != 1)
+    assert any(r["section"] == 4 for r in got) and any(r["section"] is None for r in got)
