@@ -133,3 +133,51 @@ def test_quality_of_labelled_documents(spark):
     kept = {r[0]: r[1] for r in plain(got.where("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("double"))), "*")}
     assert kept[1] > 0.98 and kept[0] < 0.15
     assert quality.quality_verdicts(docs.limit(0), labels).count() == 0
+
+
+def test_quality_of_held_out_documents(spark):
+    """Documents of the fold that is never learned from; and many have lines of both kinds."""
+    docs, labels = real(spark, sf="sf0.1"), real(spark, "labels", "sf0.1")
+    got = quality.quality_verdicts(docs, labels).cache()
+    held = got.join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == quality.HELD_OUT)
+    kept = {r[0]: r[1] for r in plain(held.where("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("double"))), "*")}
+    assert kept[1] > 0.98 and kept[0] < 0.1
+    assert got.where("content_share > 0 AND content_share < 1").count() > 300
+    got.unpersist()
+
+
+PROSE = ["the river ran slowly past the old mill and the fields beyond it.", "nobody had opened the gate since the end of the long winter.", "she counted the boats twice before she wrote the number down."]
+NOTICES = ["Released under the MIT License.", "All rights reserved. Privacy terms cookies", "WIN!! BIG!! NOW!! CLICK!! HERE!! FAST!!"]
+
+
+def mixed(k):
+    """A text of content with boilerplate at its end, and the number of words of each."""
+    content = [f"{k} {line}" for line in PROSE]
+    return "\n".join([*content, *NOTICES]), sum(len(x.split()) for x in content), sum(len(x.split()) for x in NOTICES)
+
+
+def test_lines_of_one_text_get_both_labels(spark):
+    """Content lines of mixed texts stay content, though labels are of whole documents."""
+    good = [mixed(k)[0] if k % 2 else "\n".join(f"{k} {x}" for x in PROSE) for k in range(60)]
+    bad = ["\n".join(f"BUY!! {k}!! NOW!! {n}!! CHEAP!! GOODS!!" for n in range(5)) for k in range(60)]
+    docs = table(spark, good + bad)
+    labels = spark.createDataFrame([(k, int(k < 60), 0) for k in range(120)], LABELS)
+    model = quality.learn(docs, labels, "doc_id", "text")
+    text, content, notices = mixed(1)
+    rows, sizes = quality.lines_of(text)
+    assert model.decode(rows) == [1, 1, 1, 0, 0, 0]
+    share = by_id(quality.quality_verdicts(docs, labels), "content_share", "kept")
+    assert share[1] == (content / (content + notices), True) and share[0] == (1.0, True) and share[60][0] == 0.0
+    kept = quality.without_boilerplate(docs, labels)
+    assert kept.columns == docs.columns and set(by_id(kept, "text")) == set(range(60))
+
+
+def test_line_labels_agree_with_their_document():
+    rng = np.random.default_rng(7)
+    model = quality.LineModel(rng.normal(size=(len(quality.FEATURES), 2)), rng.normal(size=(2, 2)))
+    for label in (0, 1):
+        for _ in range(30):
+            parts = [np.c_[rng.normal(size=(n, len(quality.FEATURES) - 2)) * 0.05, np.zeros((n, 2))] for n in (3, 5)]
+            sizes = [rng.integers(1, 9, size=len(p)) for p in parts]
+            told = np.concatenate(quality.relabelled(model, parts, sizes, label, 0.5))
+            assert (np.concatenate(sizes)[told == 1].sum() >= 0.5 * np.concatenate(sizes).sum()) == bool(label)
