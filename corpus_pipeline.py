@@ -1,7 +1,7 @@
 """A training corpus from raw documents: rules, toxicity, near copies, benchmark text, token ids."""
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from railweave.shipping import shipped
 from railweave.llm import bpe, decontaminate, quality, simhash, toxicity
@@ -9,8 +9,7 @@ from railweave.llm import bpe, decontaminate, quality, simhash, toxicity
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and stand mostly in content lines."""
-    model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "text")
-    return quality.judged(docs, model).where(F.col("_quality.kept")).drop("_quality")
+    return quality.without_boilerplate(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
