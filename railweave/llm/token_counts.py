@@ -16,8 +16,8 @@ from .segments import parts
 BATCH_BYTES = 1 << 20
 #: For tokenizers without a known word boundary, texts are cut near this many characters.
 LONG_TEXT = 1 << 16
-#: Distinct words remembered in a worker.
-MEMO_WORDS = 300_000
+#: Distinct words remembered in a generation, characters of them in all, and the longest word remembered.
+MEMO_WORDS, MEMO_CHARS, MEMO_LONGEST = 300_000, 4_000_000, 48
 #: A place that no rule of the supported tokenizers looks across: one space between ASCII letters or digits.
 PLAIN_GAP = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
@@ -49,19 +49,33 @@ def _chunks(text: str, drop_gap: bool) -> list[str]:
 
 
 class Known:
-    """Lengths of strings seen before, in two generations so that common ones stay."""
+    """Lengths of strings seen before, in two generations so that common ones stay.
+
+    Strings over MEMO_LONGEST characters (texts without spaces are one) are measured for a
+    batch and then forgotten, so what is held has a bound of its own, whatever the texts are.
+    """
 
     def __init__(self, measure: Callable[[list[str]], list[int]]):
-        self.measure, self.young, self.old = measure, {}, {}
+        self.measure, self.young, self.old, self.held = measure, {}, {}, 0
 
-    def learn(self, seen: set[str]) -> None:
-        """Afterwards `young` has all of `seen`."""
-        if len(self.young) > MEMO_WORDS:
-            self.old, self.young = self.young, {}
+    def learn(self, seen: set[str]) -> list[str]:
+        """Afterwards `young` has all of `seen`; the long ones among them, to be forgotten when the batch is done."""
         new = [x for x in seen if x not in self.young]
-        self.young.update((x, self.old[x]) for x in new if x in self.old)
+        size = sum(map(len, new))
+        if len(self.young) + len(new) > MEMO_WORDS or self.held + size > MEMO_CHARS:
+            self.old, self.young, self.held = self.young, {}, 0
+            new = list(seen)
+        known = [x for x in new if x in self.old]
+        self.young.update((x, self.old[x]) for x in known)
         new = [x for x in new if x not in self.old]
         self.young.update(zip(new, self.measure(new)))
+        long = [x for x in new if len(x) > MEMO_LONGEST]
+        self.held += sum(map(len, known)) + sum(map(len, new)) - sum(map(len, long))
+        return long
+
+    def forget(self, long: list[str]) -> None:
+        for x in long:
+            del self.young[x]
 
 
 @lru_cache(maxsize=2)
@@ -110,10 +124,11 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
         out = []
         for batch in balanced(texts):
             cut = [parts(t) for t in batch]
-            heads_known.learn({x for heads, _, _ in cut for x in heads})
-            tails_known.learn({x for _, tails, _ in cut for x in tails})
+            long = [heads_known.learn({x for heads, _, _ in cut for x in heads}), tails_known.learn({x for _, tails, _ in cut for x in tails})]
             head, tail = heads_known.young.__getitem__, tails_known.young.__getitem__
             out += [sum(map(head, heads)) + sum(map(tail, tails)) + feed * feeds for heads, tails, feeds in cut]
+            heads_known.forget(long[0])
+            tails_known.forget(long[1])
         return out
 
     return count

@@ -83,3 +83,24 @@ def test_empty_tables(spark):
     none = table(spark, ["x"]).limit(0)
     assert token_counts.token_counts(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
     assert bpe.bpe_round_trip(none, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_long_words_are_not_kept():
+    """A worker remembers short words only, within bounds of number and size."""
+    known = token_counts.Known(lambda new: [len(x) for x in new])
+    for k in range(50):
+        long = known.learn({"x" * (100 + k), f"w{k}", "y"})
+        assert known.young["x" * (100 + k)] == 100 + k and known.young["y"] == 1
+        known.forget(long)
+    assert set(known.young) == {"y", *(f"w{k}" for k in range(50))} and known.held == sum(map(len, known.young))
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_counts, "MEMO_WORDS", 100)
+    monkeypatch.setattr(token_counts, "MEMO_CHARS", 300)
+    known = token_counts.Known(lambda new: [len(x) for x in new])
+    for k in range(200):
+        words = {f"{k}-{n}" for n in range(30)} | {"common"}
+        known.forget(known.learn(words))
+        assert words <= set(known.young) and all(known.young[w] == len(w) for w in words)
+        assert len(known.young) <= 100 and sum(map(len, known.young)) == known.held <= 300
