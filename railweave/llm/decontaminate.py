@@ -1,19 +1,23 @@
 """Benchmark passages in training text, found by a generalised suffix automaton over words."""
 
-import hashlib
-from functools import lru_cache
-from itertools import repeat
+from fractions import Fraction
+from itertools import chain, repeat
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .arrow_text import text_udf
+from .durable import checkpointed
 
 #: Lower-cases A-Z and blanks the ASCII characters that are not letters or digits; the bytes of other characters stay.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-#: Words of benchmark items in one automaton; more items make more automata, one after the other.
+#: Words of benchmark items in one automaton, about; more items make more passes, each with one automaton.
 BLOCK_WORDS = 500_000
+#: Longer items are cut into pieces of so many words, so that blocks are of even size.
+PIECE_WORDS = 20_000
+NOBODY: frozenset = frozenset()
 
 
 def words_of(text: str) -> list[bytes]:
@@ -28,7 +32,7 @@ def split_words(text: str) -> list[bytes]:
 class ItemAutomaton:
     """Suffix automaton of all item word lists; items of fewer than `window` words count whole."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = 13):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = 13):
         self.window = window
         lists = [(item, words) for item, text in items if (words := split_words(text))]
         self.word_id = {w: k for k, w in enumerate(dict.fromkeys(w for _, words in lists for w in words))}
@@ -54,8 +58,12 @@ class ItemAutomaton:
                 for k, word in enumerate(ids):
                     state, length = self.follow(state, length, word)
                     if k >= window - 1:
-                        self.windows.setdefault(self.at_window(state), set()).add(item)
+                        self.windows.setdefault(state, set()).add(item)
         self.short = bool(self.whole)
+        #: The nearest state with short items among each state and its ever shorter suffixes; -1: none.
+        self.near = [-1] * len(self.step)
+        for state in sorted(range(len(self.step)), key=self.length.__getitem__):
+            self.near[state] = state if state in self.whole else self.near[self.link[state]] if state else -1
         #: The fewest words of anything that counts, and the gate over so many (at most 4) words.
         least = min([window, *(n for by in self.whole.values() for n in by)], default=window)
         self.gram = min(4, least)
@@ -93,19 +101,22 @@ class ItemAutomaton:
         return new
 
     def follow(self, state: int, length: int, word: int) -> tuple[int, int]:
-        """State and length of the longest match that ends with `word`."""
+        """State and length, `window` at most, of the longest match that ends with `word`.
+
+        A match is cut to its last `window` words before the next word, so that each word
+        climbs a bounded number of links, however long and repetitive the text is.
+        """
         while state and word not in self.step[state]:
             state = self.link[state]
             length = self.length[state]
-        if word in self.step[state]:
-            return self.step[state][word], length + 1
-        return 0, 0
-
-    def at_window(self, state: int) -> int:
-        """The state of the last `window` words of a match that ends in `state`."""
-        while self.length[self.link[state]] >= self.window:
+        if word not in self.step[state]:
+            return 0, 0
+        state, length = self.step[state][word], length + 1
+        if length > self.window:
+            length = self.window
+        while self.length[self.link[state]] >= length:
             state = self.link[state]
-        return state
+        return state, length
 
     def _grams(self, ids: np.ndarray) -> np.ndarray:
         if len(ids) < self.gram:
@@ -116,7 +127,7 @@ class ItemAutomaton:
         return ((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(42)).astype(np.int64)
 
     def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """(spans of hit words, end exclusive; items with an occurring window).
+        """(spans of hit words, end exclusive; items with an occurring window, but for those without an id).
 
         Words are streamed through the automaton wherever the word grams of the gate occur
         without a break; elsewhere no match can be as long as anything that counts.
@@ -132,18 +143,18 @@ class ItemAutomaton:
             state = length = 0
             for at, word in enumerate(ids[start : end + self.gram - 1].tolist(), start):
                 state, length = self.follow(state, length, word)
-                if length >= self.window:
-                    here = self.at_window(state)
-                    items |= self.windows.get(here, set())
+                if length == self.window:
+                    items |= self.windows.get(state, NOBODY)
                     self._mark(spans, at + 1 - length, at + 1)
                 if self.short and length:
-                    up = state
-                    while up > 0:
-                        for n, found in self.whole.get(up, {}).items():
+                    up = self.near[state]
+                    while up > 0:  # short items that end here have different lengths, so under `window` steps
+                        for n, found in self.whole[up].items():
                             if n <= length:
                                 items |= found
                                 self._mark(spans, at + 1 - n, at + 1)
-                        up = self.link[up]
+                        up = self.near[self.link[up]]
+        items.discard(None)
         return spans, items
 
     @staticmethod
@@ -169,82 +180,116 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"\n".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-@lru_cache(maxsize=2)
-def _automaton(items: tuple[tuple[str, str], ...], window: int) -> ItemAutomaton:
-    return ItemAutomaton(list(items), window)
+#: The automaton that this worker used last, by the mark of its block: only one is held.
+_LAST: dict[str, ItemAutomaton] = {}
 
 
-def item_blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> list[tuple[tuple[str, str], ...]]:
-    """The items in blocks of about BLOCK_WORDS words, each small enough to send to all workers.
+def _automaton(mark: str, items: list, window: int) -> ItemAutomaton:
+    if mark not in _LAST:
+        _LAST.clear()
+        _LAST[mark] = ItemAutomaton(items, window)
+    return _LAST[mark]
 
-    Sizes are summed before anything is fetched. An item of more words than a block is cut
-    into pieces that share window - 1 words, so each of its windows is in one piece.
+
+def item_table(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(block, item, text) of the benchmark's distinct pieces, and the number of blocks of about BLOCK_WORDS words.
+
+    A piece has PIECE_WORDS words and the `window` - 1 next ones, so each window of an item
+    is in one of its pieces. Only the sum of their sizes comes to the driver.
     """
-    cut = text_udf(lambda: lambda texts: [(p,) for t in texts for p in [_pieces(t, window)]], pieces=pa.list_(pa.string()))
-    parts = benchmark.select(F.col(id_col).cast("string").alias("item"), F.explode(cut(F.col(text_col))["pieces"]).alias("text")).where("item is not null")
-    parts = parts.withColumn("n", F.size(F.split("text", " ")))
-    total = parts.agg(F.sum("n")).first()[0] or 0
+    cut = text_udf(lambda: lambda texts: [(_pieces(t, window),) for t in texts], pieces=pa.list_(pa.string()))
+    parts = checkpointed(benchmark.select(F.col(id_col).cast("string").alias("item"), F.explode(cut(F.col(text_col))["pieces"]).alias("text")).distinct())
+    total = parts.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
     blocks = -(-total // BLOCK_WORDS)
-    dealt = parts.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(max(blocks, 1))))
-    return [tuple(sorted((r["item"], r["text"]) for r in dealt.where(F.col("block") == k).select("item", "text").distinct().collect())) for k in range(blocks)]
+    return parts.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(max(blocks, 1)))), blocks
 
 
 def _pieces(text: str, window: int) -> list[str]:
     words = [w.decode("utf-8", "surrogatepass") for w in split_words(text)]
-    return [" ".join(words[k : k + BLOCK_WORDS + window - 1]) for k in range(0, max(len(words) - window + 1, 1), BLOCK_WORDS)] if words else []
-
+    return [" ".join(words[k : k + PIECE_WORDS + window - 1]) for k in range(0, max(len(words) - window + 1, 1), PIECE_WORDS)] if words else []
 
-def _sha(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode("utf-8", "surrogatepass")).hexdigest()
 
-
-def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, into: str = "_match") -> DataFrame:
-    """`docs` with a struct column `into`: n_words, n_hit, n_items, items_sha256, items, cut (text without hit spans).
-
-    A column of that name is replaced. Items of one block are matched by one automaton; the
-    hits of several blocks are joined in the same pass over the texts.
-    """
-    blocks = item_blocks(benchmark, window, item_col, item_text)
+def _finder(session: SparkSession, items: list, window: int):
+    """UDF from a text to its n_words, n_hit, spans (start, end, start, ... in words) and items, by one block of items."""
+    block, mark = session.sparkContext.broadcast(items), uuid4().hex
 
     def make():
-        automata = [_automaton(block, window) for block in blocks]
+        automaton = _automaton(mark, block.value, window)
 
         def work(texts: list[str]) -> list[tuple]:
             rows = []
             for text in texts:
                 words = split_words(text)
-                found = [a.match(words) for a in automata] if words else []
-                items = sorted(set().union(*(x for _, x in found)))
-                spans: list[tuple[int, int]] = []
-                for a, b in sorted(s for own, _ in found for s in own):
-                    if spans and spans[-1][1] >= a:
-                        spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-                    else:
-                        spans.append((a, b))
-                rows.append((len(words), sum(b - a for a, b in spans), len(items), _sha(items), items, without_spans(text, spans) if spans else None))
+                spans, found = automaton.match(words) if words else ([], set())
+                rows.append((len(words), sum(b - a for a, b in spans), list(chain(*spans)), sorted(found)))
             return rows
 
         return work
 
-    fields = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items_sha256": pa.string(), "items": pa.list_(pa.string()), "cut": pa.string()}
-    return docs.withColumn(into, text_udf(make, **fields)(F.col(text_col)))
+    return text_udf(make, n_words=pa.int64(), n_hit=pa.int64(), spans=pa.list_(pa.int64()), items=pa.list_(pa.string()))
+
+
+@F.arrow_udf(T.StructType([T.StructField("n_hit", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType()))]))
+def _union(lists: pa.Array) -> pa.Array:
+    """Spans of several blocks, one list after the other, as spans that neither meet nor overlap, and their words."""
+    rows = []
+    for flat in lists.to_pylist():
+        spans: list[tuple[int, int]] = []
+        for a, b in sorted(zip(flat[::2], flat[1::2])):
+            if spans and spans[-1][1] >= a:
+                spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+            else:
+                spans.append((a, b))
+        rows.append({"n_hit": sum(b - a for a, b in spans), "spans": list(chain(*spans))})
+    return pa.array(rows, pa.struct([("n_hit", pa.int64()), ("spans", pa.list_(pa.int64()))]))
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, keep: list[str] | None = None) -> DataFrame:
+    """(row, told): the rows of `docs` as structs of the columns `keep` (all, if None), and n_words, n_hit, n_items, items_sha256, items and spans (start, end, start, ... in words) of each.
+
+    A benchmark of one block is sent to all workers and matched where the texts lie. Of a
+    larger one each block has a pass of its own, so a worker holds one automaton at a time
+    and the driver one block; a pass keeps the distinct texts that it hits, by their SHA-256,
+    these are merged by an aggregate and joined to the rows by the same key.
+    """
+    parts, blocks = item_table(benchmark, window, item_col, item_text)
+    block = lambda k: sorted(((r["item"], r["text"]) for r in parts.where(F.col("block") == k).select("item", "text").collect()), key=lambda r: (r[0] is None, r))
+    session, text, row = docs.sparkSession, F.col(text_col), F.struct(*(keep or docs.columns)).alias("row")
+    if blocks <= 1:
+        found = docs.select(row, _finder(session, block(0) if blocks else [], window)(text).alias("f")).select("row", "f.*")
+    else:
+        key, hits = F.sha2(F.coalesce(text, F.lit("")), 256).alias("key"), None
+        for k in range(blocks):
+            one = docs.select(key, _finder(session, block(k), window)(text).alias("f")).where("f.n_hit > 0").select("key", "f.spans", "f.items").dropDuplicates(["key"])
+            hits = checkpointed(one) if hits is None else hits.unionByName(checkpointed(one))
+        # Stored, so that the join has plain exchanges on both sides and Spark can split a text that many rows have.
+        merged = hits.groupBy("key").agg(_union(F.flatten(F.collect_list("spans"))).alias("u"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        merged = checkpointed(merged.select("key", "u.*", "items"))
+        counted = docs.select(row, key, _finder(session, [], window)(text)["n_words"].alias("n_words"))
+        empty = {"n_hit": F.lit(0).cast("bigint"), "spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")}
+        found = counted.join(merged, "key", "left").select("row", "n_words", *(F.coalesce(c, none).alias(c) for c, none in empty.items()))
+    told = F.struct("n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "items", "spans")
+    return found.select("row", told.alias("told"))
+
+
+def _over(n_hit: Column, n_words: Column, coverage: float) -> Column:
+    """Whether hit words are at least `coverage` of all, by its exact decimal fraction."""
+    share = Fraction(str(coverage))
+    return (n_hit > 0) & (n_hit * F.lit(share.denominator) >= n_words * F.lit(share.numerator))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: float = 0.05, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of `docs`.
 
     contaminated: at least one word is hit and hit words are at least `coverage` of all. A
-    null or word-less text has no words and no hit; items without a word or without an id
-    match nothing; items that repeat count once. Null and repeated ids keep their rows; other columns are not
-    read; empty tables give empty results or no hits.
+    null or word-less text has no words and no hit; items without a word match nothing;
+    words of items without an id are hit, but such items are not counted; items that repeat
+    count once. Null and repeated ids keep their rows; other columns are not read; empty
+    tables give empty results or no hits.
     """
-    found = matched(docs.select(F.col(id_col), F.col(text_col)), benchmark, text_col, item_col, item_text, window)
-    told = found.select(id_col, *(F.col(f"_match.{c}").alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256")))
-    return told.withColumn("contaminated", _over(coverage))
-
-
-def _over(coverage: float):
-    return (F.col("n_hit") > 0) & (F.col("n_hit") * F.lit(round(1 / coverage)) >= F.col("n_words"))
+    found = matched(docs.select(*dict.fromkeys((id_col, text_col))), benchmark, text_col, item_col, item_text, window, keep=[id_col])
+    told = found.select(F.col("row")[id_col].alias(id_col), *(F.col(f"told.{c}") for c in ("n_words", "n_hit", "n_items", "items_sha256")))
+    return told.withColumn("contaminated", _over(F.col("n_hit"), F.col("n_words"), coverage))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: float = 0.05, drop_coverage: float | None = None, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -255,9 +300,16 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, covera
     at least `drop_coverage` (never, if None; 0 drops every contaminated row). All columns
     keep their names; null texts stay null.
     """
-    found = matched(docs, benchmark, text_col, item_col, item_text, window, "_match")
-    n, hit = F.col("_match.n_words"), F.col("_match.n_hit")
-    over = (hit > 0) & (hit * F.lit(round(1 / coverage)) >= n)
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([without_spans(t, list(zip(flat[::2], flat[1::2]))) if flat else t for t, flat in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
+
+    found = matched(docs, benchmark, text_col, item_col, item_text, window)
+    over = _over(F.col("told.n_hit"), F.col("told.n_words"), coverage)
     if drop_coverage is not None:
-        found = found.where(~(over & (hit >= n * F.lit(drop_coverage))))
-    return found.withColumn(text_col, F.when(over, F.col("_match.cut")).otherwise(F.col(text_col))).drop("_match")
+        found = found.where(~(over & _over(F.col("told.n_hit"), F.col("told.n_words"), drop_coverage)))
+        if Fraction(str(drop_coverage)) <= Fraction(str(coverage)):
+            return found.select("row.*")  # all that would be cut is dropped
+    told = found.select("row", cut(F.col("row")[text_col], F.when(over, F.col("told.spans")).otherwise(F.array().cast("array<bigint>"))).alias("text"))
+    return told.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
