@@ -1,8 +1,10 @@
 """License notices in texts, by patience alignment with templates."""
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -19,6 +21,9 @@ TEMPLATES = {
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "MIT-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
@@ -118,59 +123,96 @@ def identified(pairs: list[tuple[int, int]], text: list[str], template: list[str
     return True
 
 
+class Template:
+    """Words of a template, its telling words (not common ones) and the phrases of IDENTITY; own templates have none."""
+
+    def __init__(self, name: str, text: str):
+        self.name, self.words = name, words_of(text)
+        self.phrases = [p.split() for p in IDENTITY.get(name, ())] if TEMPLATES.get(name) == text else []
+        #: Telling words and the first place of each.
+        self.telling: dict[str, int] = {}
+        for at, w in enumerate(self.words):
+            if w not in COMMON:
+                self.telling.setdefault(w, at)
+
+    def enough(self, coverage: float) -> int:
+        """Distinct telling words that any `coverage` of the template must have: all but those that the other words can be."""
+        spare = len(self.words) - math.ceil(coverage * len(self.words) - 1e-9)
+        return max(1, len(self.telling) - spare)
+
+    def fit(self, words: list[str], coverage: float) -> list[tuple[int, int]]:
+        """Aligned pairs of `words` with the template if they cover it, stand within one and a half times its length and have its phrases, else none."""
+        pairs = patience(words, self.words)
+        near = len(pairs) >= coverage * len(self.words) - 1e-9 and 2 * (pairs[-1][0] - pairs[0][0]) < 3 * len(self.words)
+        return pairs if near and identified(pairs, words, self.words, self.phrases) else []
+
+
 @lru_cache(maxsize=4)
-def _prepared(templates: tuple[tuple[str, str], ...]):
-    """(name, words, phrases of IDENTITY) of each template, and the templates of each telling word; own templates have no phrases."""
-    worded = [(name, words_of(text), [p.split() for p in IDENTITY.get(name, ())] if TEMPLATES.get(name) == text else []) for name, text in templates]
-    telling: dict[str, list[int]] = {}
-    for k, (_, words, _) in enumerate(worded):
-        for w in set(words) - COMMON:
+def _prepared(templates: tuple[tuple[str, str], ...]) -> tuple[list[Template], dict[str, list[int]]]:
+    """The templates, and which of them each telling word is of."""
+    made, telling = [Template(name, text) for name, text in templates], {}
+    for k, t in enumerate(made):
+        for w in t.telling:
             telling.setdefault(w, []).append(k)
-    return worded, telling
+    return made, telling
+
+
+def windows(places: list[int], words: list[str], t: Template, enough: int) -> Iterator[tuple[int, int]]:
+    """Windows of the text to align with a template of n words: 3n words every n words, that have enough distinct telling words.
+
+    A copy of at most 3n/2 words lies whole in one of them. Each place is looked at three times
+    at most, so the work grows with the places and not with their square.
+    """
+    n, low, high = len(t.words), 0, 0
+    for start in sorted({max(0, p // n - d) * n for p in places for d in range(3)}):
+        low, high = bisect_left(places, start, low), bisect_left(places, start + 3 * n, high)
+        if high - low >= enough and len({words[p] for p in places[low:high]}) >= enough:
+            yield start, start + 3 * n
+
+
+def starts(start: int, end: int, places: list[int], words: list[str], t: Template) -> list[int]:
+    """Where copies of the template may begin in a window: at its telling words, as far in front as they stand in the template."""
+    at = range(bisect_left(places, start), bisect_left(places, end))
+    return sorted({max(start, places[k] - t.telling[words[places[k]]]) for k in at})
+
+
+def copies(words: list[str], places: list[int], t: Template, coverage: float) -> list[tuple[int, int, int]]:
+    """(words aligned, first word, last word) of the copies of a template, which do not overlap.
+
+    A window is aligned as a whole. Where that does not fit, several copies may stand in it,
+    of which no word is unique, or words around a copy draw the alignment away; then
+    stretches of once and one and a half times the template's length are aligned from the places where it
+    may begin.
+    """
+    found, enough, n = [], t.enough(coverage), len(t.words)
+    for start, end in windows(places, words, t, enough):
+        start = max(start, found[-1][2] + 1) if found else start
+        while start < end:
+            pairs = t.fit(words[start:end], coverage)
+            if not pairs:
+                told = lambda s, size: len({words[p] for p in places[bisect_left(places, s) : bisect_left(places, s + size)]})
+                tries = ((s, size) for s in starts(start, end, places, words, t) for size in (n, 3 * n // 2) if told(s, size) >= enough)
+                start, pairs = next(((s, p) for s, size in tries if (p := t.fit(words[s : s + size], coverage))), (start, []))
+            if not pairs:
+                break
+            found.append((len(pairs), start + pairs[0][0], start + pairs[-1][0]))
+            start = found[-1][2] + 1
+    return found
 
 
 def find(text: str, templates: tuple[tuple[str, str], ...], coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
-    """(template, coverage, words aligned, first word, last word) for each region that carries a template.
+    """(template, coverage, words aligned, first word, last word) for each copy of a template in the text.
 
-    Words of a template that are not common ones mark places; around them the text is cut
-    into regions no further apart than the template is long, so that every copy of a notice
-    is aligned by itself. A region aligned well enough, with the phrases of IDENTITY, is taken
-    off, and the rest tried again.
+    Words of a template that are not common ones mark places; windows around enough of them
+    are aligned. Templates that are part of another are not reported within its copies.
     """
-    worded, telling = _prepared(templates)
+    made, telling = _prepared(templates)
     words = words_of(text)
     marks: dict[int, list[int]] = {}
     for at, word in enumerate(words):
         for k in telling.get(word, ()):
             marks.setdefault(k, []).append(at)
-    found = []
-    for k, places in marks.items():
-        name, template, phrases = worded[k]
-        n = len(template)
-        if not len(set(words[p] for p in places)) >= max(1, coverage * len(set(template) - COMMON) - 0.2 * n):
-            continue
-        regions: list[list[int]] = []
-        for at in places:
-            if regions and at - n <= regions[-1][1]:
-                regions[-1][1] = min(len(words), at + n)
-            else:
-                regions.append([max(0, at - n), min(len(words), at + n)])
-        while regions:
-            start, end = regions.pop()
-            # In a region of several copies no word is unique: look through it a window at a time.
-            step = start
-            while step < end:
-                upto = min(end, step + 2 * n)
-                fits = lambda pairs: len(pairs) >= coverage * n and identified(pairs, words[step:upto], template, phrases)  # noqa: B023, E731
-                pairs = patience(words[step:upto], template)
-                if not fits(pairs) and upto - step > n:
-                    pairs = patience(words[step : step + n], template)
-                if fits(pairs):
-                    found.append((name, len(pairs) / n, len(pairs), step + pairs[0][0], step + pairs[-1][0]))
-                    step += pairs[-1][0] + 1
-                else:
-                    later = [p for p in places if p > step]
-                    step = max(step + 1, later[0] - 1 if later else end) if upto < end or later and later[0] < end else end
+    found = [(made[k].name, n / len(made[k].words), n, first, last) for k, places in marks.items() for n, first, last in copies(words, places, made[k], coverage)]
     wider = {part: [(f[3], f[4]) for f in found if f[0] == whole] for part, whole in PART_OF.items()}
     found = [f for f in found if not any(a <= f[4] and f[3] <= b for a, b in wider.get(f[0], ()))]
     return sorted(found, key=lambda x: (-x[1], -x[2], x[0], x[3]))

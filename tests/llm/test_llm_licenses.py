@@ -1,5 +1,7 @@
 """License scans: planted notices, and alignments against the longest common subsequence."""
 
+import random
+
 from helpers import ODD, by_id, table
 from hypothesis import given, settings, strategies as st
 
@@ -61,3 +63,48 @@ def test_own_templates(spark):
     docs = table(spark, ["alpha beta gamma delta", "alpha gamma"])
     got = by_id(licenses.license_scan(docs, {"own": "alpha beta gamma delta"}, coverage=0.5), "license", "coverage")
     assert got[0] == ("own", 1.0) and got[1] == ("own", 0.5)
+
+
+def slow(text, coverage=licenses.COVERAGE):
+    """Names of the templates that some stretch of the text covers, all starts and two lengths tried."""
+    words, names = licenses.words_of(text), set()
+    for name, told in licenses.TEMPLATES.items():
+        t = licenses.Template(name, told)
+        n = len(t.words)
+        if any(t.fit(words[s : s + size], coverage) for size in (n, 3 * n // 2) for s in range(max(1, len(words) - n // 2))):
+            names.add(name)
+    return names
+
+
+def test_find_equals_trying_every_stretch():
+    """Copies with words left out, words of other templates around them. One licence a text: between copies of kin the line is not sharp."""
+    random.seed(3)
+    given = tuple(sorted(licenses.TEMPLATES.items()))
+    vocabulary = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()})
+    noise = lambda: [random.choice(vocabulary) if random.random() < 0.7 else f"w{random.randrange(99)}" for _ in range(random.randint(0, 12))]
+    for k in range(100):
+        copy = [w for w in random.choice(list(licenses.TEMPLATES.values())).split() if random.random() > 0.04 * (k % 6)]
+        text = " ".join([*noise(), *(copy * random.choice((1, 1, 2, 3))), *noise()])
+        fast, want = {f[0] for f in licenses.find(text, given)}, slow(text)
+        hidden = {part for part, whole in licenses.PART_OF.items() if whole in want}
+        assert want - hidden <= fast | hidden and fast <= want | hidden, (sorted(want ^ fast), text)
+
+
+def test_work_grows_with_the_text(monkeypatch):
+    """Words aligned for one notice and ever more telling words around it: in proportion, not with the square."""
+    aligned = []
+    patience = licenses.patience
+    monkeypatch.setattr(licenses, "patience", lambda text, template: aligned.append(len(text)) or patience(text, template))
+    given = tuple(sorted(licenses.TEMPLATES.items()))
+    random.seed(1)
+    vocabulary = sorted({w for t in licenses.TEMPLATES.values() for w in licenses.words_of(t)} - licenses.COMMON)
+    sums = []
+    for n in (4_000, 16_000):
+        aligned.clear()
+        text = [*(random.choice(vocabulary) for _ in range(n)), licenses.TEMPLATES["MIT"]]
+        assert "MIT" in {f[0] for f in licenses.find(" ".join(text), given)}
+        sums.append(sum(aligned))
+    assert sums[1] < 6 * sums[0]
+    aligned.clear()
+    many = licenses.find(f"{licenses.TEMPLATES['MIT']} " * 300, given)
+    assert sum(f[0] == "MIT" for f in many) == 300 and sum(aligned) < 300 * 200 * len(licenses.words_of(licenses.TEMPLATES["MIT"]))
