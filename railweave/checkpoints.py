@@ -1,13 +1,30 @@
 """Cutting lineage in the folder that the whole cluster shares."""
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(session: SparkSession) -> str:
+    """The session's checkpoint folder, below spark.checkpoint.dir; a folder of our own only in local mode, where none is named."""
+    context = session.sparkContext
+    if context.getCheckpointDir() is None:
+        named = session.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("name a folder that the whole cluster shares in spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="railweave-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def stored(frame: DataFrame) -> DataFrame:
-    """`frame`, written to the session's spark.checkpoint.dir and read from there; a folder of our own only where none is named."""
-    session = frame.sparkSession
-    if session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="railweave-checkpoint-"))
+    """`frame`, checkpointed in `folder`: for keys and links."""
+    folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """`frame`, written as Parquet in `folder` and read from there: for texts, of which a reader may want some columns."""
+    path = f"{folder(frame.sparkSession)}/{uuid4()}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
