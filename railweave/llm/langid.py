@@ -12,8 +12,8 @@ from .arrow_text import text_udf
 #: Lengths of the character n-grams, and buckets that their hashes fall into.
 GRAMS = (1, 2, 3)
 BUCKETS = 1 << 14
-#: Characters worked on at one time, so that long texts need bounded memory.
-CHARS_AT_ONCE = 1 << 20
+#: Texts and characters worked on at one time, so that long texts need bounded memory.
+TEXTS_AT_ONCE, CHARS_AT_ONCE = 64, 1 << 19
 #: Learning reads at most so many documents, those with the least hashes of their ids.
 SAMPLE_DOCS = 8_000
 
@@ -55,20 +55,34 @@ def gram_counts(text: str) -> np.ndarray:
 def log_scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
     """Sum of weights[bucket] over all n-grams of each text: texts x languages.
 
-    Texts are put end to end and counted sparsely: the buckets of all their n-grams pick
-    columns of the weights, and the sums end where each text does.
+    Texts are taken in batches of up to TEXTS_AT_ONCE and CHARS_AT_ONCE, a longer one in
+    spans. The n-grams of a batch are counted by (text, bucket) in one pass; the counts that
+    are not zero, a sparse matrix, are multiplied with the weights and summed by text.
     """
     out = np.zeros((len(texts), weights.shape[1]))
-    columns = np.ascontiguousarray(weights.T)
-    points = [code_points(t) for t in texts]
-    for row, chars in enumerate(points):
+    batch: list[tuple[int, list[np.ndarray]]] = []
+
+    def flush() -> None:
+        keys = np.concatenate([place * BUCKETS + buckets for place, (_, parts) in enumerate(batch) for buckets in parts] or [np.zeros(0, np.int64)])
+        counts = np.bincount(keys, minlength=0)
+        there = np.flatnonzero(counts)
+        if there.size:
+            row = there // BUCKETS
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            sums = np.add.reduceat(counts[there, None] * weights[there % BUCKETS], first)
+            np.add.at(out, [batch[k][0] for k in row[first]], sums)
+        batch.clear()
+
+    held = 0
+    for number, text in enumerate(texts):
+        chars = code_points(text)
         for start, end in _spans(len(chars)):
-            for buckets in gram_buckets(chars[start : end + max(GRAMS) - 1]):
-                own = buckets[: end - start]
-                if own.size > 4 * BUCKETS:
-                    out[row] += np.bincount(own, minlength=BUCKETS) @ weights
-                else:
-                    out[row] += [column.take(own).sum() for column in columns]
+            if batch and (held + end - start > CHARS_AT_ONCE or len(batch) == TEXTS_AT_ONCE):
+                flush()
+                held = 0
+            batch.append((number, [buckets[: end - start].astype(np.int64) for buckets in gram_buckets(chars[start : end + max(GRAMS) - 1])]))
+            held += end - start
+    flush()
     return out
 
 
@@ -84,9 +98,10 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: in
     least hash of the id. Counts are summed in the workers and by a Spark aggregate, so only
     (languages x buckets) sums reach the driver.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    chosen = known.select(F.col(id_col).alias("_chosen")).orderBy(F.xxhash64("_chosen"), "_chosen").limit(sample)
-    texts = known.join(F.broadcast(chosen), F.col(id_col) == F.col("_chosen"), "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    known = own.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
+    chosen = known.select(F.col("id").alias("chosen")).orderBy(F.xxhash64("chosen"), "chosen").limit(sample)
+    texts = known.join(F.broadcast(chosen), F.col("id") == F.col("chosen"), "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
