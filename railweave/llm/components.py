@@ -17,17 +17,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     null end are left out, an empty list gives an empty result. Each round is a large star
     (hang larger neighbours on the least neighbour) and a small star (hang smaller ones on
     the least of them). A node's neighbours never meet in one task: the least of them comes
-    from a partial aggregate, and goes back by a join whose skewed side Spark may split.
-    Every round is checkpointed, so the lineage stays one round deep.
+    from a partial aggregate, which is stored, so that the join that brings it back has plain
+    exchanges on both sides and Spark can split a node with very many neighbours. Every round
+    is checkpointed, so the lineage stays one round deep.
     """
     pairs = edges.select(F.col(src).cast("bigint").alias("a"), F.col(dst).cast("bigint").alias("b")).where("a <> b")
     now = checkpointed(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before, after = None, _signature(now)
     while before != after and after[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = checkpointed(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = checkpointed(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         before, after = after, _signature(now)

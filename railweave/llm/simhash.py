@@ -7,6 +7,7 @@ reference fingerprints; by the triangle inequality a pair whose distances to any
 differ by more than the radius cannot be linked and is discarded; survivors are verified.
 """
 
+import re
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -144,6 +145,17 @@ def fingerprint_edges(prints: DataFrame, radius: int = 3, n_pivots: int = 24, bu
     return met.mapInArrow(_scan(radius, n_pivots), "src bigint, dst bigint")
 
 
+def _grouped(marked: DataFrame, radius: int) -> DataFrame:
+    """(fp, root): the component of each distinct fingerprint `fp` of `marked`."""
+    prints = checkpointed(marked.select("fp").distinct())
+    roots = connected_components(fingerprint_edges(prints, radius)).withColumnRenamed("node", "fp")
+    return checkpointed(prints.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
+def _print_udf(shingle: int):
+    return text_udf(lambda: lambda texts: [(fingerprint(t, shingle),) for t in texts], fp=pa.int64())
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """(id, fingerprint, component_id): near-duplicate groups of a document table.
 
@@ -153,24 +165,38 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keeps its row and takes the least non-null id of its group (null if there is none).
     Other columns are not read. An empty table gives an empty result.
     """
-    udf = text_udf(lambda: lambda texts: [(fingerprint(t, shingle),) for t in texts], fp=pa.int64())
-    marked = checkpointed(docs.select(F.col(id_col).alias("id"), udf(F.col(text_col)).alias("s")).select("id", "s.fp"))
-    prints = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(fingerprint_edges(prints, radius)).withColumnRenamed("node", "fp")
-    labelled = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # Written first, so that the join below has plain exchanges on both sides and Spark can split a large group.
-    groups = checkpointed(labelled.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = labelled.select("fp", "root").join(groups, "root").select("fp", "component_id")
+    marked = checkpointed(docs.select(F.col(id_col).alias("id"), _print_udf(shingle)(F.col(text_col)).alias("s")).select("id", "s.fp"))
+    labelled = _grouped(marked, radius)
+    least = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    # Written first, so that the joins below have plain exchanges on both sides and Spark can split a large group.
+    groups = checkpointed(least.join(labelled, "fp").groupBy("root").agg(F.min("least").alias("component_id")))
+    named = checkpointed(labelled.join(groups, "root").select("fp", "component_id"))
     return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of `docs` for each near-duplicate group: that of its least id, all columns.
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """One row of `docs` for each near-duplicate group, all columns as they were.
 
-    Of rows that repeat an id one stays. A row without an id cannot be named as a copy, so
-    it stays.
+    It is the row of the least id, null ids last; of rows that share an id, that of the least
+    text hash and then of the least hash over all columns but maps and variants; rows that
+    are alike in all of these are one row to this operator. Rows are chosen by such keys
+    before any text moves: the texts are read again and only rows that are not chosen are
+    looked up, so few of them (under Spark's broadcast limit) cost no shuffle of texts.
     """
-    groups = simhash_components(docs, id_col, text_col)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    names = [f.name for f in docs.schema if not re.search(r"\b(map<|variant)", f.dataType.simpleString())]
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), F.xxhash64(*names).alias("all"))
+    marked = checkpointed(docs.select(key.alias("key"), _print_udf(shingle)(F.col(text_col)).alias("s")).select("key", "s.fp"))
+    labelled = _grouped(marked, radius)
+    first = checkpointed(marked.groupBy("fp").agg(F.min("key").alias("key"), F.count("*").alias("n")))
+    chosen = checkpointed(first.join(labelled, "fp").groupBy("root").agg(F.min("key").alias("chosen")))
+    named = checkpointed(labelled.join(chosen, "root").select("fp", "chosen"))
+    told = marked.join(named, "fp").groupBy("key").agg(F.max(F.col("key") == F.col("chosen")).alias("stays"), F.count("*").alias("n"))
+    odd = checkpointed(told.where("NOT stays OR n > 1").select(*(F.col(f"key.{c}").alias(f"_{c}") for c in ("id", "text", "all")), "stays"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.xxhash64(*names).alias("ah"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_text")) & (F.col("ah") == F.col("_all"))
+    kept = rows.join(odd, same, "left_anti").select("row.*")
+    if odd.where("stays").isEmpty():
+        return kept
+    # Chosen rows that are there several times: one of each.
+    repeated = rows.join(odd.where("stays"), same, "left_semi").groupBy("id", "th", "ah").agg(F.any_value("row").alias("row"))
+    return kept.unionByName(repeated.select("row.*"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from railweave.llm import simhash
 from railweave.llm.components import connected_components
+from railweave.llm.durable import checkpointed
 
 
 def brute_print(text):
@@ -103,6 +104,34 @@ def test_keeping_one(spark):
     docs = table(spark, ["a b c d e", "a b c d e", "other words stand here now", None, "", "A b c d e"], first_id=10)
     kept = simhash.keep_one_per_group(docs)
     assert kept.columns == docs.columns
-    assert sorted(plain(kept, "doc_id"), key=str) == [(10,), (12,), (13,), (None,)]
+    assert sorted(plain(kept, "doc_id"), key=str) == [(10,), (12,), (13,)]  # the copy without an id goes as well
     assert simhash.keep_one_per_group(docs.limit(0)).count() == 0
     assert simhash.simhash_components(docs.limit(0)).count() == 0
+
+
+def test_keeping_one_row_where_ids_repeat(spark):
+    """Rows are chosen, not ids: no text goes that is nobody's copy, and no copy stays beside another."""
+    rows = [(1, "a b c d e", "x"), (1, "quite other words are in here", "x"), (2, "quite other words are in here", "y"), (3, "a b c d e", "x"), (None, "a b c d e", "x"), (None, "nobody copies this text at all", "x"), (None, "nobody copies this text at all", "x"), (4, "alike in all of its columns", "x"), (4, "alike in all of its columns", "x"), (4, "alike in all of its columns", "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("*", "map('k', source) AS m", "1 AS row", "2 AS key", "3 AS id", "4 AS _id", "5 AS th")
+    kept = simhash.keep_one_per_group(docs)
+    assert kept.columns == docs.columns
+    got = sorted(plain(kept, "doc_id", "text"), key=str)
+    assert got == sorted([(1, "a b c d e"), (1, "quite other words are in here"), (4, "alike in all of its columns"), (None, "nobody copies this text at all")], key=str)
+
+
+def test_hot_nodes_can_be_split(spark):
+    """Both sides of each join come from a plain exchange of stored rows, which Spark can split where one node has most rows."""
+    low = {"autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "adaptive.skewJoin.skewedPartitionFactor": "2", "adaptive.advisoryPartitionSizeInBytes": "10k"}
+    for name, value in low.items():
+        spark.conf.set(f"spark.sql.{name}", value)
+    try:
+        star = spark.range(1, 60_000).select(F.col("id").alias("src"), F.lit(0).cast("bigint").alias("dst"))
+        both = checkpointed(star.union(star.select("dst", "src")).toDF("u", "v"))
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")))
+        plan = both.join(least, "u").select(F.sum("v"))
+        plan.collect()
+        assert "skew" in plan._jdf.queryExecution().executedPlan().toString()
+        assert {r[0] for r in plain(connected_components(star), "root")} == {0}
+    finally:
+        for name in low:
+            spark.conf.unset(f"spark.sql.{name}")
