@@ -20,8 +20,11 @@ SAMPLE_DOCS = 12_000
 LEXICON_TERMS = 3_000
 #: A term must be this many times likelier (natural logarithm) in toxic documents.
 LEAST_ODDS = 2.5
-#: Folds of crc32(id) mod 5: 0 is held out, the others learn a part of the model each.
-HELD_OUT, LEXICON_FOLDS, TREE_FOLDS, CALIBRATION_FOLDS = 0, (1, 2), (3,), (4,)
+#: Folds of crc32(id) mod 5: 0 is held out, of the others each is described by a lexicon of the rest, and each half calibrates trees of the other.
+HELD_OUT, FOLDS, HALVES = 0, (1, 2, 3, 4), ((1, 2), (3, 4))
+#: Common insults in English, French, German and Spanish, in the lexicon from the start with this weight.
+INSULTS = "idiot idiots moron morons stupid scum loser losers trash pathetic worthless disgusting clown clowns dumb dumbass fool filth garbage retard bastard bitch asshole crap jerk imbecile idiote connard salope débile ordure dégoûtant abruti crétin idiotin dummkopf arschloch abschaum dreckig versager widerlich imbécil estúpido estúpida basura escoria asqueroso inútil".split()
+INSULT_WEIGHT = 5.0
 
 WORD_BYTES = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Pronouns of the second person in English, French, German and Spanish.
@@ -88,29 +91,38 @@ def fold(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
-def _lexicon(texts: DataFrame) -> dict[bytes, float]:
-    """Log odds of the terms that tell most, from rows (toxic, text); document counts, summed by Spark."""
+def _term_counts(texts: DataFrame) -> DataFrame:
+    """(term, toxic, clean by fold): documents that have each term, from rows (toxic, fold, text), summed by Spark; the empty term counts documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: tuple[Counter, Counter] = (Counter(), Counter())
+        sums: dict[tuple[int, int], Counter] = {}
         for batch in batches:
-            for toxic, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist()):
-                sums[toxic].update({t for w in set(words_of(text or "")) for t in terms(w)})
-                sums[toxic][b""] += 1  # documents
-        for toxic in (0, 1):
-            told = list(sums[toxic].items())
+            for toxic, fold_, text in zip(*(batch[c].to_pylist() for c in ("toxic", "fold", "text"))):
+                own = sums.setdefault((fold_, toxic), Counter())
+                own.update({t for w in set(words_of(text or "")) for t in terms(w)})
+                own[b""] += 1
+        for (fold_, toxic), counts in sums.items():
+            told = list(counts.items())
             for at in range(0, len(told), 50_000):
                 part = told[at : at + 50_000]
-                yield pa.record_batch({"term": pa.array([t for t, _ in part], pa.binary()), "toxic": pa.array([n * toxic for _, n in part], pa.int64()), "clean": pa.array([n * (1 - toxic) for _, n in part], pa.int64())})
+                yield pa.record_batch({"term": pa.array([t for t, _ in part], pa.binary()), "fold": pa.array([fold_] * len(part), pa.int64()), "toxic": pa.array([n * toxic for _, n in part], pa.int64()), "clean": pa.array([n * (1 - toxic) for _, n in part], pa.int64())})
 
-    summed = checkpointed(texts.mapInArrow(count, "term binary, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    made = texts.mapInArrow(count, "term binary, fold bigint, toxic bigint, clean bigint")
+    return checkpointed(made.groupBy("term").agg(*(F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in FOLDS for c in ("toxic", "clean"))))
+
+
+def _lexicon(counts: DataFrame, folds: tuple[int, ...]) -> dict[bytes, float]:
+    """INSULTS, and log odds of the terms that tell most, from the documents of the given folds."""
+    lexicon = dict.fromkeys((w.encode() for w in INSULTS), INSULT_WEIGHT)
+    over = lambda c: sum((F.col(f"{c}{f}") for f in folds[1:]), F.col(f"{c}{folds[0]}"))
+    summed = counts.select("term", over("toxic").alias("toxic"), over("clean").alias("clean"))
     docs = summed.where(F.length("term") == 0).first()
     if not docs or not docs["toxic"]:
-        return {}
+        return lexicon
     odds = F.log((F.col("toxic") + 0.5) / (docs["toxic"] + 1)) - F.log((F.col("clean") + 0.5) / (docs["clean"] + 1))
     least = max(2, min(6, docs["toxic"] // 80 + 2))
     telling = summed.where((F.length("term") > 1) & (F.col("toxic") >= least)).withColumn("w", odds).where(F.col("w") >= LEAST_ODDS)
-    return {bytes(r["term"]): r["w"] for r in telling.orderBy((F.col("w") * F.col("toxic")).desc(), "term").limit(LEXICON_TERMS).collect()}
+    return lexicon | {bytes(r["term"]): r["w"] for r in telling.orderBy((F.col("w") * F.col("toxic")).desc(), "term").limit(LEXICON_TERMS).collect()}
 
 
 def _dense(lexicon: dict[bytes, float], text_col: str):
@@ -124,27 +136,32 @@ class Scorer:
     def __init__(self, lexicon: dict[bytes, float], trees=None, shape=None, constant: float = 0.0):
         self.lexicon, self.trees, self.shape, self.constant = lexicon, trees, shape, constant
 
-    def scored(self, rows: DataFrame, text_col: str, into: str = "_score") -> DataFrame:
-        """`rows` with a column `into`, each text scored where it lies; a column of that name is replaced."""
+    def scored(self, rows: DataFrame, text_col: str) -> DataFrame:
+        """(row, told): the rows as structs, each scored where it lies."""
+        packed = rows.select(F.struct("*").alias("row"), *([_dense(self.lexicon, text_col).alias("features")] if self.trees else []))
         if self.trees is None:
-            return rows.withColumn(into, F.lit(self.constant))
-        # The rows travel as one struct, so no name of theirs meets those that the models add.
-        packed = rows.select(F.struct("*").alias("row"), _dense(self.lexicon, text_col).alias("features"))
+            return packed.withColumn("told", F.lit(self.constant))
         told = self.shape.transform(_likely(self.trees.transform(packed)))
-        return told.select("row.*", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("_told")).drop(into).withColumnRenamed("_told", into)
+        return told.select("row", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("told"))
 
 
 def _likely(frame: DataFrame) -> DataFrame:
     return frame.withColumn("raw", vector_to_array("probability")[1])
 
 
+def _trees(rows: DataFrame):
+    return GBTClassifier(maxDepth=3, maxIter=15, stepSize=0.3, minInstancesPerNode=2, seed=11).fit(rows)
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "toxic", sample: int = SAMPLE_DOCS) -> Scorer:
     """A scorer from at most `sample` labelled rows outside fold 0, those of the least hashes of their ids.
 
-    A lexicon of words and word beginnings comes from folds 1 and 2, trees from fold 3, the
-    isotonic calibration from fold 4. Where a fold lacks a class, all four teach that part.
-    Of several labels for an id the larger counts; null ids are never learned from. The
-    texts of the sample are written once, and everything is learned from those.
+    All of them teach each part, by cross-fitting: a row's features come from a lexicon of
+    the other folds; trees learn from the features of all rows; the isotonic calibration
+    learns from scores that trees of the other half of the folds give. Where a half lacks a
+    class, trees of all rows give them. New texts meet the lexicon of all folds. Of several
+    labels for an id the larger counts; null ids are never learned from. The texts of the
+    sample are written once, and everything is learned from those.
     """
     taught = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_chosen")).agg(F.max(label_col).cast("int").alias("toxic"))
     taught = taught.withColumn("fold", fold("_chosen")).where(F.col("fold") != HELD_OUT).orderBy(F.xxhash64("_chosen"), "_chosen").limit(sample)
@@ -154,15 +171,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     classes = {y for _, y in there}
     if len(classes) < 2:
         return Scorer({}, constant=float(max(classes, default=0)))
-    every = tuple(range(1, 5))
-    of = lambda wanted: F.col("fold").isin(*(wanted if all(any((f, y) in there for f in wanted) for y in classes) else every))
-
-    lexicon = _lexicon(texts.where(of(LEXICON_FOLDS)).select("toxic", "text"))
-    known = checkpointed(texts.select(F.col("toxic").cast("double").alias("label"), "fold", _dense(lexicon, "text").alias("features"))).coalesce(4)
-    trees = GBTClassifier(maxDepth=3, maxIter=15, stepSize=0.3, minInstancesPerNode=2, seed=11).fit(known.where(of(TREE_FOLDS)))
-    isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score")
-    shape = isotonic.fit(_likely(trees.transform(known.where(of(CALIBRATION_FOLDS)))).select("raw", "label"))
-    return Scorer(lexicon, trees, shape)
+    counts = _term_counts(texts)
+    described = None
+    for f in FOLDS:
+        part = texts.where(F.col("fold") == f).select(F.col("toxic").cast("double").alias("label"), "fold", _dense(_lexicon(counts, tuple(x for x in FOLDS if x != f)), "text").alias("features"))
+        described = part if described is None else described.unionByName(part)
+    known = checkpointed(described.coalesce(4))
+    trees = _trees(known)
+    halves = [known.where(F.col("fold").isin(*half)) for half in HALVES]
+    whole = all(any((f, y) in there for f in half) for half in HALVES for y in classes)
+    scored = [_likely((_trees(halves[1 - k]) if whole else trees).transform(half)).select("raw", "label") for k, half in enumerate(halves)]
+    shape = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(scored[0].unionByName(scored[1]))
+    return Scorer(_lexicon(counts, FOLDS), trees, shape)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE_DOCS) -> DataFrame:
@@ -174,11 +194,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     empty result.
     """
     scorer = learn(docs, labels, id_col, text_col, label_col, sample)
-    scored = scorer.scored(docs.select(F.col(id_col), F.col(text_col)), text_col)
+    scored = scorer.scored(docs.select(F.col(id_col), F.col(text_col)), text_col).select(F.col("row")[id_col].alias(id_col), F.col("told").alias("score"))
     held = F.coalesce(fold(id_col) == HELD_OUT, F.lit(False)).alias("held_out")
-    return scored.select(id_col, held, F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(id_col, held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that are not predicted toxic, all columns; each row is judged by its own text, without a join."""
-    return learn(docs, labels, id_col, text_col).scored(docs, text_col).where("_score < 0.5").drop("_score")
+    """The rows of `docs` that are not predicted toxic, all columns as they were; each row is judged by its own text, without a join."""
+    return learn(docs, labels, id_col, text_col).scored(docs, text_col).where("told < 0.5").select("row.*")

@@ -24,6 +24,15 @@ def test_toxicity_of_held_out_documents(spark):
     assert got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
 
 
+def test_toxicity_with_few_labels(spark):
+    """51 labelled toxic documents are all there is to learn from at this size."""
+    docs, labels = real(spark, sf="sf0.01").select("doc_id", "text"), real(spark, "labels", "sf0.01")
+    got = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").toPandas()
+    rank, bad = got.score.rank(), got.toxic == 1
+    assert (rank[bad].sum() - bad.sum() * (bad.sum() + 1) / 2) / (bad.sum() * (~bad).sum()) > 0.85
+    assert got.predicted[~bad].mean() < 0.05
+
+
 def test_toxicity_of_odd_tables(spark):
     docs = table(spark, ODD)
     none = spark.createDataFrame([], LABELS)
@@ -35,7 +44,7 @@ def test_toxicity_of_odd_tables(spark):
     got = by_id(toxicity.toxicity_scores(own, labels), "predicted")
     assert all(got[k] == (int(k % 3 == 0),) for k in range(90)) and got[91] == (0,)
     kept = toxicity.without_toxic(own, labels)
-    assert kept.columns == [c for c in own.columns if c != "_score"] and kept.where("text like 'you idiot%'").count() == 0
+    assert kept.columns == own.columns and kept.where("text like 'you idiot%'").count() == 0
     assert kept.count() == 60 + len(ODD) + 1
     assert toxicity.toxicity_scores(own.limit(0), labels).count() == 0
 
