@@ -5,7 +5,7 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .durable import checkpointed
 
@@ -72,31 +72,44 @@ def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 0, id_col: str = "
     size 8 and crc 0; null ids come first; repeated rows keep their rows. Other columns are
     not read; an empty table gives an empty result.
     """
+    placed = _placed(docs.select(*_keys(id_col, text_col)), seed)
+    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), (F.col("place") % shards).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _keys(id_col: str, text_col: str) -> list[Column]:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = numbered(rows, "id", "size", "text_crc32")
-    total = rows.count()
+    return [F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")]
+
+
+def _placed(rows: DataFrame, seed: int) -> DataFrame:
+    """`rows` (id, size, text_crc32 and more) with `place`: where the shuffle puts them."""
+    numbers = numbered(rows, "id", "size", "text_crc32")
+    total = numbers.count()
 
     @F.arrow_udf("bigint")
     def place(numbers: pa.Array) -> pa.Array:
         return pa.array(permuted(numbers.to_numpy(zero_copy_only=False), total, seed))
 
-    placed = placed.withColumn("place", place.asNondeterministic()("row_number"))
-    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), (F.col("place") % shards).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return numbers.withColumn("place", place.asNondeterministic()("row_number"))
+
 
+def unused(name: str, columns: list[str]) -> str:
+    """`name`, or name_2, name_3 ..., whichever no column has first; case does not tell columns apart."""
+    taken = {c.lower() for c in columns}
+    return next(n for n in (name, *(f"{name}_{k}" for k in range(2, len(taken) + 3))) if n not in taken)
 
-def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes whole rows of `docs` as Parquet, partitioned by shard and ordered by slot within it.
 
-    The place is found for the keys and joined back to the rows, so texts are shuffled once
-    to the writers. Rows that share id, size and crc are told apart by their count.
+def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", rows_a_file: int = ROWS_A_PART) -> tuple[str, str]:
+    """Writes whole rows of `docs` as Parquet, partitioned by shard and ordered by slot; returns the names of these two columns.
+
+    They are `shard` and `slot`, or other names where `docs` has such columns, which stay.
+    Rows travel with their keys, so they are numbered and written without a join. A shard is
+    dealt to tasks by ranges of slots: each file holds a range of about `rows_a_file` rows
+    of one shard, or of several small ones.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"_size": (F.octet_length(text) + 8).cast("bigint"), "_crc": F.crc32(text.cast("binary"))})
-    key = [F.col(id_col), F.col("_size"), F.col("_crc")]
-    keyed = keyed.withColumn("_copy", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
-    at = shard_rows(docs, shards, seed, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("size").alias("_s"), F.col("text_crc32").alias("_c"), "shard", "slot")
-    at = at.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_s", "_c").orderBy("shard", "slot")))
-    joined = keyed.join(at, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_s")) & (F.col("_crc") == F.col("_c")) & (F.col("_copy") == F.col("_k")))
-    placed = joined.drop("_size", "_crc", "_copy", "_id", "_s", "_c", "_k")
-    placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed = _placed(docs.select(*_keys(id_col, text_col), F.struct("*").alias("row")), seed)
+    shard, slot = unused("shard", docs.columns), unused("slot", docs.columns)
+    told = placed.select("row.*", (F.col("place") % shards).cast("int").alias(shard), F.floor(F.col("place") / shards).cast("bigint").alias(slot))
+    parts = max(1, -(-placed.count() // rows_a_file))
+    told.repartitionByRange(parts, shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+    return shard, slot

@@ -5,8 +5,11 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from helpers import ODD, plain, real, table
 
+from pyspark.sql import functions as F
+
 from railweave.llm import chat, queries, sharding
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
@@ -40,6 +43,19 @@ def test_formatted_text_and_flags(spark):
     assert [s["text"] for s in told["segments"] if s["loss"]] == ["yo"] and told["valid"]
 
 
+def test_other_templates(spark):
+    """Control strings, their marker, roles and moves are all of the template."""
+    own = {"marker": "[[", "open": "[[turn:", "after_role": "]\n", "close": "[[/turn]]", "role_feed": "[[nl]]", "learned": ["bot"], "moves": {"": ["human"], "human": ["bot"], "bot": ["human"]}, "ends": ["bot"]}
+    rows = [(1, 0, "human", "a [[/turn]] <|im_end|> [\\[ b"), (1, 1, "bot", "[[turn: [[["), (2, 0, "bot", "x"), (3, 0, "a\nb", None)]
+    chats = chat.format_chats(spark.createDataFrame(rows, TURNS), own)
+    told = {r["conv_id"]: r for r in chats.select("conv_id", "valid", "segments", chat.read_back(chat.formatted_text(F.col("segments")), own).alias("back")).collect()}
+    assert [tuple(t) for t in told[1]["back"]] == [r[2:] for r in rows[:2]] and [tuple(t) for t in told[3]["back"]] == [("a\nb", "")]
+    assert [told[k]["valid"] for k in (1, 2, 3)] == [True, False, False]
+    assert chat.chat_digests(chats, template=own).where("conv_id = 1").first()["loss_sha256"] == sha("[[turn: [[[")
+    with pytest.raises(ValueError):
+        chat.format_chats(chats, own | {"close": "end"})
+
+
 def test_odd_conversations(spark):
     frame = spark.createDataFrame([(None, 0, "user", "a"), (None, None, "assistant", "b"), (5, 0, None, None), (6, 1, "user", "x"), (6, 1, "user", "x")], TURNS)
     got = {r[0]: r[1:] for r in plain(chat.chat_digests(chat.format_chats(frame)), "conv_id", "n_turns", "valid")}
@@ -84,8 +100,16 @@ def test_equal_rows_keep_their_own_places(spark):
 
 def test_written_shards_hold_all_rows(spark, tmp_path):
     docs = table(spark, [f"text {k}" for k in range(100)] + [None, "", None])
-    docs = docs.drop("shard").unionByName(docs.drop("shard").limit(10))
-    sharding.write_shards(docs, str(tmp_path / "out"), shards=5)
+    docs = docs.unionByName(docs.limit(10))
+    names = sharding.write_shards(docs, str(tmp_path / "out"), shards=5, rows_a_file=7)
     back = spark.read.parquet(str(tmp_path / "out"))
+    assert names == ("shard_2", "slot") and set(back.columns) == {*docs.columns, *names}
     assert sorted(plain(back, "doc_id", "text"), key=str) == sorted(plain(docs, "doc_id", "text"), key=str)
-    assert len({(r["shard"], r["slot"]) for r in back.select("shard", "slot").collect()}) == docs.count()
+    want = {(i, n): (s, t) for i, n, s, t in plain(sharding.shard_rows(docs, 5), "doc_id", "size", "shard", "slot")}
+    places = plain(back, "doc_id", F.octet_length(F.coalesce("text", F.lit(""))) + 8, "shard_2", "slot")
+    assert len({p[2:] for p in places}) == docs.count() == len(places)
+    assert {p[2:] for p in places} == {r for r in plain(sharding.shard_rows(docs, 5), "shard", "slot")}
+    assert all(want[i, n] in {p[2:] for p in places if p[:2] == (i, n)} for i, n, *_ in places)
+    for file in (tmp_path / "out").rglob("*.parquet"):
+        slots = [r[0] for r in spark.read.parquet(str(file)).select("slot").collect()]
+        assert slots == list(range(slots[0], slots[0] + len(slots)))
