@@ -3,6 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from railweave.checkpoints import written
 from railweave.shipping import shipped
 from railweave.llm import bpe, decontaminate, quality, simhash, toxicity
 
@@ -39,8 +40,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder; each but the last is written in the checkpoint folder, so no stage runs twice."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
