@@ -65,3 +65,13 @@ def test_queries_equal_their_sql(spark, name):
 def test_every_operator_has_its_query():
     names = __spark_entry__.queries()
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+
+
+def test_columns_of_the_users_own_pass_through(spark):
+    """Extra columns, maps among them, with names that the operators could use themselves."""
+    docs = real(spark).selectExpr("*", "map('a', 1) AS m", "1 AS _quality", "2 AS _score", "3 AS _match", "4 AS row", "5 AS told", "6 AS key", "7 AS features", "8 AS label", "9 AS id", "10 AS _chosen", "11 AS f")
+    sf, got = f"{DATA}/sf0.001", docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, got, sf)
+        assert got.columns == docs.columns
+    assert {tuple(r) for r in got.select("_quality", "_score", "_match", "row", "told", "key", "id", "f").distinct().collect()} == {(1, 2, 3, 4, 5, 6, 9, 11)}
