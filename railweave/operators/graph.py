@@ -40,16 +40,19 @@ def node_meta(edges: DataFrame) -> DataFrame:
 def transfer_edges(members: DataFrame) -> DataFrame:
     """(group_key, src, dst, gap_m, length_m): connectors between the nodes of a transfer group.
 
-    members: (group_key, node_id, lon, lat, metres to the group's station). Of the nodes
-    within GROUP_M the GROUP_NODES nearest take part, so a group has a bounded number of
-    pairs; a pair up to TRANSFER_M apart is joined once, in the group that sorts first.
+    members: (group_key, node_id, lon, lat, metres to the group's station), and institution
+    where connectors are to tell what they join: connector_codes. Of the nodes within
+    GROUP_M the GROUP_NODES nearest take part, so a group has a bounded number of pairs; a
+    pair up to TRANSFER_M apart is joined once, in the group that sorts first.
     """
-    near = members.where(F.col("metres") <= GROUP_M).groupBy("group_key", "node_id").agg(F.min("metres").alias("metres"), F.first("lon").alias("lon"), F.first("lat").alias("lat"))
+    told = "institution" in members.columns
+    members = members if told else members.withColumn("institution", F.lit(""))
+    near = members.where(F.col("metres") <= GROUP_M).groupBy("group_key", "node_id").agg(F.min("metres").alias("metres"), F.first("lon").alias("lon"), F.first("lat").alias("lat"), F.min_by("institution", F.struct("metres", "institution")).alias("institution"))
     ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy("group_key").orderBy("metres", "node_id"))).where(F.col("_k") <= GROUP_NODES)
-    other = ranked.select("group_key", F.col("node_id").alias("o_id"), F.col("lon").alias("o_lon"), F.col("lat").alias("o_lat"))
+    other = ranked.select("group_key", F.col("node_id").alias("o_id"), F.col("lon").alias("o_lon"), F.col("lat").alias("o_lat"), F.col("institution").alias("o_institution"))
     pairs = ranked.join(other, "group_key").where("node_id < o_id").withColumn("gap_m", haversine_m(F.col("lon"), F.col("lat"), F.col("o_lon"), F.col("o_lat"))).where(F.col("gap_m") <= TRANSFER_M)
-    first = pairs.groupBy(F.col("node_id").alias("src"), F.col("o_id").alias("dst")).agg(F.min("group_key").alias("group_key"), F.min_by("gap_m", "group_key").alias("gap_m"))
-    return first.withColumn("length_m", F.col("gap_m") + TRANSFER_COST_M)
+    first = pairs.groupBy(F.col("node_id").alias("src"), F.col("o_id").alias("dst")).agg(F.min("group_key").alias("group_key"), F.min_by("gap_m", "group_key").alias("gap_m"), F.min_by(F.array_sort(F.array_distinct(F.filter(F.array("institution", "o_institution"), lambda c: c != ""))), "group_key").alias("connector_codes"))
+    return (first if told else first.drop("connector_codes")).withColumn("length_m", F.col("gap_m") + TRANSFER_COST_M)
 
 
 def edge_allowed(institution: Column, connector_codes: Column, is_connector: Column, allowed: Column) -> Column:
@@ -84,9 +87,17 @@ def profile(frame: DataFrame, *columns: str) -> DataFrame:
     return frame.select(pairs.alias("p")).groupBy("p.property", "p.value").agg(F.count("*").alias("n"))
 
 
-def content_hash(edges: DataFrame) -> DataFrame:
-    """One row (rows, hash) that changes when the network does, whatever the order of its rows."""
-    return edges.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.xxhash64("src", "dst", "length_m")), F.lit(0)).alias("hash"))
+def content_hash(edges: DataFrame, *columns: str) -> DataFrame:
+    """One row (rows, hash) that changes when the network does, whatever the order of its rows.
+
+    hash: the sum of 60 bits of the MD5 of each row, so repeated rows count each time. The
+    columns are those that matter to paths, if none are named; doubles count to the millimetre.
+    """
+    columns = columns or tuple(c for c in ("src", "dst", "length_m", "line", "operator", "institution", "is_connector") if c in edges.columns)
+    kinds = dict(edges.dtypes)
+    told = F.concat_ws("|", *(F.coalesce(F.round(F.col(c) * 1000).cast("bigint").cast("string") if kinds[c] == "double" else F.col(c).cast("string"), F.lit("")) for c in columns))
+    bits = F.conv(F.substring(F.md5(told.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return edges.agg(F.count("*").alias("rows"), F.coalesce(F.sum(bits), F.lit(0)).cast("string").alias("hash"))
 
 
 def jump_classes(hops: DataFrame, far_m: float = 120.0) -> DataFrame:

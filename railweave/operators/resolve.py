@@ -54,20 +54,21 @@ def nearest_anchor(candidates: DataFrame, anchors: DataFrame, allowed: Column |
     return far.groupBy("stop_id").agg(F.min_by("station_id", rank).alias("station_id"))
 
 
-def expand_endpoint(candidates: DataFrame, stations: DataFrame, allowed: list[str], radius_m: float = 1800.0) -> DataFrame:
+def expand_endpoint(candidates: DataFrame, stations: DataFrame, allowed: list[str] | None = None, radius_m: float = 1800.0) -> DataFrame:
     """(stop_id, station_id, place): candidates of an endpoint with allowed stations of its name put first.
 
-    candidates: (stop_id, norm_name, station_id, ord). Allowed stations of the same name
+    candidates: (stop_id, norm_name, station_id, ord), with `allowed`, the institutions of
+    each endpoint, where these are not the same for all. Allowed stations of the same name
     within the radius of a candidate come first; where there are none and no candidate is
-    allowed, those of the name anywhere; then the candidates.
+    allowed, those of the name anywhere; then the candidates. A blank institution is allowed.
     """
-    ok = F.col("institution").isin(allowed)
-    here = candidates.join(stations.select("station_id", "lon", "lat", "institution"), "station_id")
-    named = stations.where(ok).select("norm_name", F.col("station_id").alias("other"), F.col("ord").alias("other_ord"), F.col("lon").alias("o_lon"), F.col("lat").alias("o_lat"))
-    same = here.join(named, "norm_name").withColumn("_near", haversine_m(F.col("lon"), F.col("lat"), F.col("o_lon"), F.col("o_lat")) <= radius_m)
-    told = same.groupBy("stop_id", "other", "other_ord").agg(F.max("_near").alias("near"), F.max(ok).alias("_any"))
+    c = candidates if allowed is None else candidates.withColumn("allowed", F.array(*map(F.lit, allowed)))
+    here = c.join(stations.select("station_id", "lon", "lat", "institution"), "station_id").withColumn("_ok", institution_allowed(F.col("institution"), F.col("allowed")))
+    named = stations.select("norm_name", F.col("station_id").alias("other"), F.col("ord").alias("other_ord"), F.col("lon").alias("o_lon"), F.col("lat").alias("o_lat"), F.col("institution").alias("o_institution"))
+    same = here.join(named, "norm_name").where(institution_allowed(F.col("o_institution"), F.col("allowed"))).withColumn("_near", haversine_m(F.col("lon"), F.col("lat"), F.col("o_lon"), F.col("o_lat")) <= radius_m)
+    told = same.groupBy("stop_id", "other", "other_ord").agg(F.max("_near").alias("near"))
     state = told.groupBy("stop_id").agg(F.max("near").alias("some_near"))
-    has = here.groupBy("stop_id").agg(F.max(ok).alias("has_allowed"))
+    has = here.groupBy("stop_id").agg(F.max("_ok").alias("has_allowed"))
     more = told.join(state, "stop_id").join(has, "stop_id").where(F.col("near") | (~F.col("some_near") & ~F.col("has_allowed"))).select("stop_id", F.col("other").alias("station_id"), F.struct(F.lit(0).alias("part"), F.col("other_ord").alias("ord")).alias("_rank"))
     own = candidates.select("stop_id", "station_id", F.struct(F.lit(1).alias("part"), F.col("ord").alias("ord")).alias("_rank"))
     first = more.unionByName(own).groupBy("stop_id", "station_id").agg(F.min("_rank").alias("_rank"))
@@ -122,16 +123,19 @@ def in_boxes(items: DataFrame, boxes: DataFrame, cell: int = 10000) -> DataFrame
     """(item_id, box_id): items whose closed box meets a region's, by grid cells and then by the boxes themselves.
 
     Both have west, south, east, north in 1e-5 degrees. Items and regions go to the cells
-    they cover and meet by equal cell.
+    they cover and meet by equal cell; a pair that shares several is made in the first alone.
     """
 
+    at = lambda c: F.floor(F.col(c) / cell)
+
     def dealt(frame: DataFrame, key: str, mark: str) -> DataFrame:
-        lines = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-        return frame.select(key, *(F.col(c).alias(mark + c) for c in ("west", "south", "east", "north")), lines("west", "east").alias("cx"), F.col("south"), F.col("north")).withColumn("cy", lines("south", "north")).drop("south", "north")
+        told = frame.select(key, *(F.col(c).alias(mark + c) for c in ("west", "south", "east", "north")), F.explode(F.sequence(at("west"), at("east"))).alias("cx"), "south", "north")
+        return told.withColumn("cy", F.explode(F.sequence(at("south"), at("north")))).drop("south", "north")
 
     met = dealt(items, "item_id", "i_").join(dealt(boxes, "box_id", "b_"), ["cx", "cy"])
     touching = (F.col("i_west") <= F.col("b_east")) & (F.col("b_west") <= F.col("i_east")) & (F.col("i_south") <= F.col("b_north")) & (F.col("b_south") <= F.col("i_north"))
-    return met.where(touching).select("item_id", "box_id").distinct()
+    first = (F.col("cx") == F.greatest(at("i_west"), at("b_west"))) & (F.col("cy") == F.greatest(at("i_south"), at("b_south")))
+    return met.where(touching & first).select("item_id", "box_id")
 
 
 def allowed_codes(explicit: Column, default: tuple[str, ...] = ("1", "2", "3", "4", "5")) -> Column:
