@@ -11,6 +11,22 @@ ROWS_AT_ONCE = 128
 _DDL = {pa.int64(): "bigint", pa.int32(): "int", pa.float64(): "double", pa.bool_(): "boolean", pa.string(): "string", pa.binary(): "binary", pa.list_(pa.float64()): "array<double>", pa.list_(pa.string()): "array<string>", pa.list_(pa.int64()): "array<bigint>"}
 
 
+#: What clears the caches that operators keep in a worker, by operator.
+_CLEAR: dict[str, Callable[[], None]] = {}
+
+
+def held(operator: str, clear: Callable[[], None] | None = None) -> None:
+    """Tells that the module `operator` works in this worker now, and how to clear what it keeps; what others keep is cleared.
+
+    A worker serves one stage after the other; so it holds the vocabulary, automaton or
+    memo of one operator at a time, not of all that it ever served.
+    """
+    for name in [n for n in _CLEAR if n != operator]:
+        _CLEAR.pop(name)()
+    if clear:
+        _CLEAR[operator] = clear
+
+
 def text_udf(make: Callable[[], Callable[[list[str]], list[tuple]]], **fields: pa.DataType):
     """A UDF from a string column to a struct of `fields`.
 
@@ -22,6 +38,7 @@ def text_udf(make: Callable[[], Callable[[list[str]], list[tuple]]], **fields: p
     kind, names = pa.struct(list(fields.items())), list(fields)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held(make.__module__)
         work = make()
         for batch in batches:
             columns: list[list] = [[] for _ in names]

@@ -16,11 +16,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow_text import text_udf
+from .arrow_text import held, text_udf
 from .segments import CLOSE, CUTS, Memo
 
 #: Pairs of neighbours remembered in a worker.
-MEMO_PAIRS = 500_000
+MEMO_PAIRS = 200_000
+#: Pieces and words remembered in each of the two generations of a memo.
+MEMO_PIECES, MEMO_WORDS = 50_000, 100_000
 #: Marks that are a piece by themselves behind a word.
 MARKS = frozenset(".,;:!?")
 
@@ -149,7 +151,7 @@ def codec(path: str, pattern: str):
     def piece_ids(piece: str) -> str:
         return " ".join(map(str, vocabulary.encode_piece(piece.encode("utf-8", "surrogatepass"))))
 
-    piece_memo = Memo(piece_ids, 100_000)
+    piece_memo = Memo(piece_ids, MEMO_PIECES)
 
     def ids(text: str) -> str:
         return " ".join(map(piece_memo.__getitem__, pieces(text)))
@@ -164,7 +166,7 @@ def codec(path: str, pattern: str):
 
     # The safe cuts are those of the usual pattern; another pattern takes each text whole.
     usual = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    head, tail, feed = Memo(ids), Memo(word_ids), ids("\n")
+    head, tail, feed = Memo(ids, MEMO_WORDS), Memo(word_ids, MEMO_WORDS), ids("\n")
 
     def encode(text: str) -> str:
         if pattern != usual:
@@ -199,6 +201,7 @@ def bpe_round_trip(docs: DataFrame, ranks: str, pattern: str, keep_ids: bool = F
     """
 
     def make():
+        held(__name__, codec.cache_clear)
         encode, decode = codec(ranks, pattern)
 
         def work(texts: list[str]) -> list[tuple]:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .arrow_text import text_udf
+from .arrow_text import held, text_udf
 from .durable import checkpointed
 
 #: Lower-cases A-Z and blanks the ASCII characters that are not letters or digits; the bytes of other characters stay.
@@ -214,6 +214,7 @@ def _finder(session: SparkSession, items: list, window: int):
     block, mark = session.sparkContext.broadcast(items), uuid4().hex
 
     def make():
+        held(__name__, _LAST.clear)
         automaton = _automaton(mark, block.value, window)
 
         def work(texts: list[str]) -> list[tuple]:

@@ -9,7 +9,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow_text import text_udf
+from .arrow_text import held, text_udf
 from .segments import parts
 
 #: A batch for the library has about so many bytes, so batches cost alike whatever texts are in them.
@@ -143,6 +143,12 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     whole. Null or empty text: 0 bytes, 0 tokens. Null and repeated ids keep their rows;
     other columns are not read; an empty table gives an empty result.
     """
-    udf = text_udf(lambda: lambda texts: [(n,) for n in counter(tokenizer)(texts)], n=pa.int64())
+
+    def make():
+        held(__name__, counter.cache_clear)
+        count = counter(tokenizer)
+        return lambda texts: [(n,) for n in count(texts)]
+
+    udf = text_udf(make, n=pa.int64())
     told = docs.select(F.col(id_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint").alias("n_bytes"), udf(F.col(text_col)).alias("t"))
     return told.select(id_col, "n_bytes", F.col("t.n").alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -131,22 +131,26 @@ def _dense(lexicon: dict[bytes, float], text_col: str):
 
 
 class Scorer:
-    """A learned lexicon, trees and calibration; or a score that all texts get, if there was nothing to tell apart."""
+    """A learned lexicon, trees of each half and their calibration; or a score that all texts get, if there was nothing to tell apart."""
 
-    def __init__(self, lexicon: dict[bytes, float], trees=None, shape=None, constant: float = 0.0):
+    def __init__(self, lexicon: dict[bytes, float], trees=(), shape=None, constant: float = 0.0):
         self.lexicon, self.trees, self.shape, self.constant = lexicon, trees, shape, constant
 
     def scored(self, rows: DataFrame, text_col: str) -> DataFrame:
-        """(row, told): the rows as structs, each scored where it lies."""
+        """(row, told): the rows as structs, each scored where it lies, by the mean of all trees."""
         packed = rows.select(F.struct("*").alias("row"), *([_dense(self.lexicon, text_col).alias("features")] if self.trees else []))
-        if self.trees is None:
+        if not self.trees:
             return packed.withColumn("told", F.lit(self.constant))
-        told = self.shape.transform(_likely(self.trees.transform(packed)))
+        for k, trees in enumerate(self.trees):
+            packed = _likely(trees, packed, f"raw{k}")
+        told = self.shape.transform(packed.withColumn("raw", sum((F.col(f"raw{k}") for k in range(1, len(self.trees))), F.col("raw0")) / len(self.trees)))
         return told.select("row", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("told"))
 
 
-def _likely(frame: DataFrame) -> DataFrame:
-    return frame.withColumn("raw", vector_to_array("probability")[1])
+def _likely(trees, frame: DataFrame, into: str = "raw") -> DataFrame:
+    """`frame` with the trees' probability of class 1."""
+    told = trees.copy().setProbabilityCol("p").setRawPredictionCol("r").setPredictionCol("d").transform(frame)
+    return told.withColumn(into, vector_to_array("p")[1]).drop("p", "r", "d")
 
 
 def _trees(rows: DataFrame):
@@ -157,11 +161,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     """A scorer from at most `sample` labelled rows outside fold 0, those of the least hashes of their ids.
 
     All of them teach each part, by cross-fitting: a row's features come from a lexicon of
-    the other folds; trees learn from the features of all rows; the isotonic calibration
-    learns from scores that trees of the other half of the folds give. Where a half lacks a
-    class, trees of all rows give them. New texts meet the lexicon of all folds. Of several
-    labels for an id the larger counts; null ids are never learned from. The texts of the
-    sample are written once, and everything is learned from those.
+    the other folds; each half of the folds teaches trees, which score the other half; the
+    isotonic calibration learns from those scores of all rows. Where a half lacks a class,
+    one set of trees learns from all rows. New texts meet the lexicon of all folds and the
+    mean of both trees. Of several labels for an id the larger counts; null ids are never
+    learned from. The texts of the sample are written once, and everything is learned from those.
     """
     taught = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_chosen")).agg(F.max(label_col).cast("int").alias("toxic"))
     taught = taught.withColumn("fold", fold("_chosen")).where(F.col("fold") != HELD_OUT).orderBy(F.xxhash64("_chosen"), "_chosen").limit(sample)
@@ -176,11 +180,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     for f in FOLDS:
         part = texts.where(F.col("fold") == f).select(F.col("toxic").cast("double").alias("label"), "fold", _dense(_lexicon(counts, tuple(x for x in FOLDS if x != f)), "text").alias("features"))
         described = part if described is None else described.unionByName(part)
-    known = checkpointed(described.coalesce(4))
-    trees = _trees(known)
+    known = checkpointed(described).coalesce(4)
     halves = [known.where(F.col("fold").isin(*half)) for half in HALVES]
     whole = all(any((f, y) in there for f in half) for half in HALVES for y in classes)
-    scored = [_likely((_trees(halves[1 - k]) if whole else trees).transform(half)).select("raw", "label") for k, half in enumerate(halves)]
+    trees = [_trees(half) for half in halves] if whole else [_trees(known)]
+    scored = [_likely(trees[1 - k if whole else 0], half).select("raw", "label") for k, half in enumerate(halves)]
     shape = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(scored[0].unionByName(scored[1]))
     return Scorer(_lexicon(counts, FOLDS), trees, shape)
 

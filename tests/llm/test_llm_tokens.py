@@ -104,3 +104,18 @@ def test_what_is_remembered_is_bounded(monkeypatch):
         known.forget(known.learn(words))
         assert words <= set(known.young) and all(known.young[w] == len(w) for w in words)
         assert len(known.young) <= 100 and sum(map(len, known.young)) == known.held <= 300
+
+
+def test_a_worker_holds_one_operators_caches():
+    from railweave.llm import arrow_text
+
+    cleared = []
+    arrow_text.held("one", lambda: cleared.append("one"))
+    arrow_text.held("one")
+    assert not cleared
+    arrow_text.held("two")
+    assert cleared == ["one"]
+    arrow_text.held("three", lambda: cleared.append("three"))
+    arrow_text.held("one", lambda: cleared.append("one"))
+    assert cleared == ["one", "three"]
+    arrow_text._CLEAR.clear()
