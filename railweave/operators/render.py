@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.geo import haversine_m, tile_x, tile_y
+
 
 def shared_segments(segments: DataFrame) -> DataFrame:
     """(seg_key, train_id, trains, slot): how many trains share a segment, and which of them each is.
@@ -60,10 +62,32 @@ def route_signature(routes: DataFrame) -> DataFrame:
     return told.groupBy("train_id").agg(F.xxhash64(parts).alias("signature"))
 
 
+def draw_order(trains: DataFrame, emphasis: Column) -> DataFrame:
+    """`trains` with `place`: from bottom to top by emphasis, then by their own order (ord); places count up over the whole table.
+
+    Rows are sorted by ranges over the cluster; only row counts of the ranges are summed, one row a range.
+    """
+    from ..checkpoints import stored
+
+    told = stored(trains.withColumn("_tier", emphasis).orderBy("_tier", "ord").withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
+    sizes = told.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_least"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = told.join(F.broadcast(before.drop("_n")), "_part").withColumn("place", F.col("_before") + F.col("_id") - F.col("_least"))
+    return numbered.drop("_tier", "_part", "_id", "_least", "_before")
+
+
+def densified(stops: DataFrame, step_m: float = 3000.0) -> DataFrame:
+    """(lon, lat): the stops of trains (train_id, idx, lon, lat) and points between neighbours, a hop cut in as many parts as whole steps fit in it."""
+    w = Window.partitionBy("train_id").orderBy("idx")
+    hops = stops.select("lon", "lat", F.lead("lon").over(w).alias("b_lon"), F.lead("lat").over(w).alias("b_lat"))
+    n = F.greatest(F.lit(1), F.floor(F.coalesce(haversine_m(F.col("lon"), F.col("lat"), F.col("b_lon"), F.col("b_lat")) / step_m, F.lit(1.0))).cast("int"))
+    steps = hops.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = lambda c: F.col(c) + (F.coalesce(f"b_{c}", c) - F.col(c)) * F.col("k") / F.col("n")
+    return steps.select(at("lon").alias("lon"), at("lat").alias("lat"))
+
+
 def corridor_tiles(points: DataFrame, zooms: range, buffer: dict[int, int]) -> DataFrame:
     """(z, x, y): map tiles at the points and so many tiles around them, each once."""
-    from ..functions.geo import tile_x, tile_y
-
     found = None
     for z in zooms:
         b = buffer.get(z, 0)

@@ -26,39 +26,49 @@ def upsert_counters(existing: DataFrame, incoming: DataFrame, key: str = "id") -
     return told.crossJoin(old.agg(F.count("*").alias("_had"))).select("trains_total", "added", (F.col("trains_total") - F.col("added")).alias("replaced"), (F.col("_had") + F.col("_new")).alias("trains_after"))
 
 
-def free_id(base: str, taken: set[str]) -> str:
-    """base, or base-2, base-3 ... whichever is not taken first."""
+def free_id(base: str, taken: set[str], following: dict[str, int] | None = None) -> str:
+    """base, or base-2, base-3 ... whichever is not taken first; `following` remembers where to go on for each base."""
     if base not in taken:
         return base
-    k = 2
+    k = (following or {}).get(base, 2)
     while f"{base}-{k}" in taken:
         k += 1
+    if following is not None:
+        following[base] = k + 1
     return f"{base}-{k}"
 
 
-def _folded(stem: str):
-    def run(rows: pa.Table) -> pa.Table:
-        taken, out = set(), []
-        for r in rows.sort_by([("new", "ascending"), ("ord", "ascending")]).to_pylist():
-            name = free_id(r["id"], taken) if r["new"] else r["id"]
-            taken.add(name)
-            if r["new"]:
-                out.append({"ord": r["ord"], "id": r["id"], "unique_id": name})
-        return pa.Table.from_pylist(out, schema=pa.schema([("ord", pa.int64()), ("id", pa.string()), ("unique_id", pa.string())]))
+_FOLDED = pa.schema([("ord", pa.int64()), ("id", pa.string()), ("unique_id", pa.string())])
 
-    return run
+
+def _folded(rows: pa.Table) -> pa.Table:
+    taken, following, out = set(), {}, []
+    for name, new, ord_ in zip(*(rows.sort_by([("new", "ascending"), ("ord", "ascending")])[c].to_pylist() for c in ("id", "new", "ord"))):
+        free = free_id(name, taken, following) if new else name
+        taken.add(free)
+        if new:
+            out.append((ord_, name, free))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else ((), (), ()), _FOLDED)], schema=_FOLDED)
 
 
 def unique_ids(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """(ord, id, unique_id): incoming ids (id, ord) made unique against existing ones (id) and each other, in order.
 
-    The next free suffix depends on those given before, so ids with one stem (the id without
-    a last -number) are folded together; different stems never collide.
+    Ids of one stem (the id without last -numbers) can collide, others never do. Where a
+    stem has one id alone, its rows are numbered by a window. Where it has several, as `a`
+    and `a-2`, the next free suffix depends on those given before: such a stem is folded in
+    order by one task, in linear time, and must fit in it.
     """
     stem = F.regexp_replace("id", r"(-[0-9]+)+$", "").alias("stem")
-    rows = existing.select(F.col("id"), F.lit(-1).cast("bigint").alias("ord"), F.lit(False).alias("new"), stem).distinct()
-    rows = rows.unionByName(incoming.select("id", F.col("ord").cast("bigint"), F.lit(True).alias("new"), stem))
-    return rows.groupBy("stem").applyInArrow(_folded("stem"), "ord bigint, id string, unique_id string")
+    old, new = existing.select("id", stem).distinct(), incoming.select("id", F.col("ord").cast("bigint").alias("ord"), stem)
+    kinds = old.select("stem", "id").unionByName(new.select("stem", "id")).distinct().groupBy("stem").agg(F.count("*").alias("_ids"))
+    mixed = kinds.where("_ids > 1").select("stem")
+    w = Window.partitionBy("id").orderBy("ord")
+    plain = new.join(mixed, "stem", "left_anti").withColumn("_k", F.row_number().over(w)).join(old.select("id", F.lit(1).alias("_old")), "id", "left")
+    place = F.col("_k") + F.coalesce("_old", F.lit(0))
+    numbered = plain.select("ord", "id", F.when(place == 1, F.col("id")).otherwise(F.concat("id", F.lit("-"), place.cast("string"))).alias("unique_id"))
+    rows = old.select("id", F.lit(-1).cast("bigint").alias("ord"), F.lit(False).alias("new"), "stem").unionByName(new.select("id", "ord", F.lit(True).alias("new"), "stem")).join(mixed, "stem", "left_semi")
+    return numbered.unionByName(rows.groupBy("stem").applyInArrow(_folded, "ord bigint, id string, unique_id string"))
 
 
 def append(existing: DataFrame, incoming: DataFrame) -> DataFrame:

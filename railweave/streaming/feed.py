@@ -1,10 +1,12 @@
 """The change feed as a stream, and the store that follows it."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import upsert
 from ..sources.schemas import EVENT
+from ..sources.versions import current, current_version, drop_old, publish
 
 
 def change_feed(spark: SparkSession, path: str, schema: str = EVENT, files_per_trigger: int = 100) -> DataFrame:
@@ -17,26 +19,42 @@ def from_others(client: str) -> Column:
     return F.col("origin").isNull() | (F.col("origin") != client)
 
 
-def follow(changes: DataFrame, store_path: str, checkpoint: str, key: str = "id") -> StreamingQuery:
-    """Keeps the newest row of each key under `store_path`, a folder with one version a batch.
+def merged(old: DataFrame | None, batch: DataFrame, key: str = "id") -> DataFrame:
+    """The newest row by `seq` of each key of a store (with `position`) and a batch of changes, and the place where the key came first.
 
-    Each batch merges with the last version and writes the next, so a batch that is run
-    again after a failure writes the same version again. Only the newest change of a key in
-    a batch is written, however many there are.
+    A change whose `cleared` is true empties the store: rows of lower seq go, and positions
+    count anew. The change itself is no row.
+    """
+    rows = batch.withColumn("position", F.col("seq"))
+    rows = rows if old is None else old.unionByName(rows, allowMissingColumns=True)
+    if "cleared" in batch.columns:
+        last = rows.agg(F.max(F.when(F.coalesce("cleared", F.lit(False)), F.col("seq"))).alias("_cut"))
+        rows = rows.crossJoin(F.broadcast(last)).where("(_cut IS NULL OR seq > _cut) AND NOT coalesce(cleared, false)").drop("_cut")
+    rest = [c for c in rows.columns if c not in (key, "position")]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "seq").alias("_last"), F.min("position").alias("position"))
+    return last.select(key, *(F.col(f"_last.{c}").alias(c) for c in rest), "position")
+
+
+def follow(changes: DataFrame, store_path: str, checkpoint: str, key: str = "id", keep: int = 2, changed: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """Keeps the newest row of each key in the store published under `store_path`.
+
+    Each batch is merged with the version that counts and published as the next one; versions
+    before the last `keep` are deleted. A store that is there when the stream starts is kept,
+    also under a new checkpoint. A batch that runs again after a failure merges the same rows
+    again, which changes nothing. `changed` gets the keys of each batch after it counts, for
+    instance to solve the routes of these trains anew.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        old = _version(spark, store_path, epoch - 1)
-        rows = batch if old is None else old.drop("position").unionByName(batch, allowMissingColumns=True)
-        upsert(rows, key).write.mode("overwrite").parquet(f"{store_path}/version={epoch}")
+        publish(merged(current(spark, store_path), batch, key), store_path)
+        drop_old(spark, store_path, keep)
+        if changed:
+            changed(batch.select(key).where(F.col(key).isNotNull()).distinct())
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _version(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
-    return spark.read.parquet(f"{path}/version={epoch}") if epoch >= 0 else None
-
-
-def latest(spark: SparkSession, path: str, epoch: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={epoch}")
+def latest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The store as it is now; None before the first batch."""
+    return current(spark, path) if current_version(spark, path) >= 0 else None

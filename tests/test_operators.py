@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from railweave.operators import graph, itinerary, render, resolve, solve, store, validate
-from railweave.sources import network, stores
+from railweave.sources import network, stores, versions
 from railweave.streaming import feed
 
 
@@ -177,17 +177,77 @@ def test_stores(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    changes = [(k % 5, k, f"p{k}", "me" if k % 7 == 0 else None) for k in range(40)]
-    (tmp_path / "in").mkdir()
-    schema = "id bigint, seq bigint, payload string, origin string"
-    for part in range(4):
-        (tmp_path / "in" / f"{part}.json").write_text("\n".join(json.dumps(dict(zip(("id", "seq", "payload", "origin"), c))) for c in changes[part * 10 : part * 10 + 10]))
-    live = feed.change_feed(spark, str(tmp_path / "in"), schema, files_per_trigger=1).where(feed.from_others("me"))
-    q = feed.follow(live, str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    got = feed.latest(spark, str(tmp_path / "out"), 3).select("id", "seq", "payload")
-    want = store.upsert(spark.createDataFrame(changes, schema).where(feed.from_others("me"))).select("id", "seq", "payload")
-    assert rows(got) == rows(want)
+    """All columns, over several batches, a second stream with a new checkpoint, and a clearing change."""
+    schema = "id bigint, seq bigint, payload string, origin string, cleared boolean"
+    changes = [(k % 5, k, f"p{k}", "me" if k % 7 == 0 else None, None) for k in range(40)]
+    out, seen = str(tmp_path / "out"), []
+
+    def run(rows, name):
+        (tmp_path / name).mkdir()
+        for at in range(0, len(rows), 10):
+            (tmp_path / name / f"{at}.json").write_text("\n".join(json.dumps(dict(zip(("id", "seq", "payload", "origin", "cleared"), c))) for c in rows[at : at + 10]))
+        live = feed.change_feed(spark, str(tmp_path / name), schema, files_per_trigger=1).where(feed.from_others("me"))
+        q = feed.follow(live, out, str(tmp_path / f"{name}-checkpoint"), changed=lambda keys: seen.append({r[0] for r in keys.collect()}))
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+    def want(rows):
+        return rows_of(store.upsert(spark.createDataFrame(rows, schema).where(feed.from_others("me"))))
+
+    rows_of = lambda frame: rows(frame.select("id", "seq", "payload", "position"))
+    assert feed.latest(spark, out) is None
+    run(changes, "a")
+    assert rows_of(feed.latest(spark, out)) == want(changes) and seen[0] == {0, 1, 2, 3, 4}
+    more = [(k % 7, k, f"q{k}", None, None) for k in range(40, 60)]
+    run(more, "b")  # the store that is there is respected
+    assert rows_of(feed.latest(spark, out)) == want(changes + more)
+    run([(None, 60, None, None, True), (9, 61, "after", None, None), (1, 59, "late", None, None)], "c")
+    assert rows_of(feed.latest(spark, out)) == [(9, 61, "after", 61)]
+    assert len(list((tmp_path / "out" / "data").iterdir())) == 2
+
+
+def test_versions(spark, tmp_path):
+    path, frame = str(tmp_path / "v"), spark.range(3)
+    assert versions.current(spark, path) is None and versions.current(spark, path, frame).count() == 3 and not versions.clear(spark, path)
+    assert versions.publish(frame, path) == 0 and versions.publish(versions.current(spark, path).where("id > 0"), path) == 1
+    # A version that was written but not told does not count.
+    frame.write.parquet(f"{path}/data/version=2")
+    assert versions.current(spark, path).count() == 2
+    assert versions.clear(spark, path) and not versions.clear(spark, path) and versions.current(spark, path).count() == 0
+    assert stores.store_or_default(spark, path, frame).count() == 0
+    assert versions.drop_old(spark, path, keep=1) == 2
+    (tmp_path / "broken" / "versions").mkdir(parents=True)
+    (tmp_path / "broken" / "versions" / "x.parquet").write_text("no Parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        stores.store_or_default(spark, str(tmp_path / "broken"), frame).count()
+
+
+def test_route_cache(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    assert stores.read_cache(spark, path, "h1") is None
+    stores.write_cache(spark.createDataFrame([("k", 1.0), ("l", 2.0)], "route_key string, cost double"), path, "h1")
+    stores.write_cache(spark.createDataFrame([("k", 9.0)], "route_key string, cost double"), path, "h2")
+    assert rows(stores.read_cache(spark, path, "h1")) == [("k", 1.0), ("l", 2.0)] and rows(stores.read_cache(spark, path, "h2")) == [("k", 9.0)]
+
+
+def test_defaults_and_train_errors(spark):
+    assert stores.default_trains(spark).count() == 2
+    stop = {"name": "x", "stop_type": "origin", "ride_segment": True}
+    good = {"id": "a", "number": "1", "name": "n", "origin": "x", "destination": "y", "stops": [stop, stop], "route_sections": [{"from": "x", "operator_hints": []}], "route_geometry_cache": {}}
+    bad = {"id": "b", "number": "", "name": "n", "origin": "x", "more": 1, "stops": [{"stop_type": "origin", "platform": 3}], "route_sections": [{"via": "z"}]}
+    told, _ = stores.parse_stores(spark.createDataFrame([("s", json.dumps([good, bad]))], "source string, document string"))
+    assert sorted((r["ord"], r["error"]) for r in stores.train_errors(told).collect()) == [(1, "a stop without a name"), (1, "fewer than two stops"), (1, "missing: number, destination"), (1, "unknown keys of a section: via"), (1, "unknown keys of a stop: platform"), (1, "unknown keys of a train: more")]
+
+
+def test_ids_in_linear_time(spark):
+    taken, following = set(), {}
+    for k in range(50_000):
+        name = store.free_id("a", taken, following)
+        taken.add(name)
+    assert name == "a-50000" and len(taken) == 50_000
+    new = spark.range(30).selectExpr("'a' AS id", "id AS ord").union(spark.createDataFrame([("b", 31), ("b-2", 32), ("b", 33), ("c", 34)], "id string, ord bigint"))
+    got = {r["ord"]: r["unique_id"] for r in store.unique_ids(spark.createDataFrame([("a",), ("c",)], "id string"), new).collect()}
+    assert [got[k] for k in range(30)] == [f"a-{k + 2}" for k in range(30)] and [got[k] for k in (31, 32, 33, 34)] == ["b", "b-2", "b-3", "c-2"]
 
 
 def test_overlaps(spark):
