@@ -20,9 +20,9 @@ from .arrow_text import held, text_udf
 from .segments import CLOSE, CUTS, Memo
 
 #: Pairs of neighbours remembered in a worker.
-MEMO_PAIRS = 200_000
+MEMO_PAIRS = 500_000
 #: Pieces and words remembered in each of the two generations of a memo.
-MEMO_PIECES, MEMO_WORDS = 50_000, 100_000
+MEMO_PIECES, MEMO_WORDS = 100_000, 200_000
 #: Marks that are a piece by themselves behind a word.
 MARKS = frozenset(".,;:!?")
 
