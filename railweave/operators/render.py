@@ -86,13 +86,14 @@ def densified(stops: DataFrame, step_m: float = 3000.0) -> DataFrame:
     return steps.select(at("lon").alias("lon"), at("lat").alias("lat"))
 
 
-def corridor_tiles(points: DataFrame, zooms: range, buffer: dict[int, int]) -> DataFrame:
-    """(z, x, y): map tiles at the points and so many tiles around them, each once."""
-    found = None
-    for z in zooms:
-        b = buffer.get(z, 0)
-        centre = points.select(tile_x(F.col("lon"), z).alias("x0"), tile_y(F.col("lat"), z).alias("y0")).distinct()
-        around = centre.withColumn("x", F.explode(F.sequence(F.col("x0") - b, F.col("x0") + b))).withColumn("y", F.explode(F.sequence(F.col("y0") - b, F.col("y0") + b)))
-        now = around.where(f"x between 0 and {2**z - 1} and y between 0 and {2**z - 1}").select(F.lit(z).alias("z"), "x", "y")
-        found = now if found is None else found.unionByName(now)
-    return found.distinct()
+#: Zooms of the tiles that are kept, each with the tiles around a point.
+TILE_BUFFER = {5: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 1, 11: 2, 12: 2}
+
+
+def corridor_tiles(points: DataFrame, buffer: dict[int, int] | None = None) -> DataFrame:
+    """(z, x, y): map tiles at the points and so many tiles around them at each zoom, each once; the points are read once."""
+    at = [F.struct(F.lit(z).alias("z"), F.lit(b).cast("bigint").alias("b"), tile_x(F.col("lon"), z).alias("x0"), tile_y(F.col("lat"), z).alias("y0")) for z, b in (buffer or TILE_BUFFER).items()]
+    centres = points.select(F.explode(F.array(*at)).alias("t")).select("t.*").distinct()
+    span = lambda c: F.explode(F.sequence(F.col(c) - F.col("b"), F.col(c) + F.col("b")))
+    around = centres.withColumn("x", span("x0")).withColumn("y", span("y0")).withColumn("n", F.pow(F.lit(2), F.col("z")))
+    return around.where((F.col("x") >= 0) & (F.col("x") < F.col("n")) & (F.col("y") >= 0) & (F.col("y") < F.col("n"))).select("z", "x", "y").distinct()

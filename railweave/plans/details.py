@@ -260,8 +260,9 @@ def draw_order(spark, d):
 
 @query(f""", w AS (SELECT train_id, idx, lon, lat, lead(lon) OVER w AS b_lon, lead(lat) OVER w AS b_lat FROM ps WINDOW w AS (PARTITION BY train_id ORDER BY idx)),
 h AS (SELECT *, {hav('lon', 'lat', 'b_lon', 'b_lat')} / 3000 AS steps FROM w),
-p AS (SELECT lon + (b_lon - lon) * k / n AS lon, lat + (b_lat - lat) * k / n AS lat FROM (SELECT *, greatest(1, CAST(floor(coalesce(steps, 1)) AS BIGINT)) AS n, unnest(generate_series(0, greatest(1, CAST(floor(coalesce(steps, 1)) AS BIGINT)) - 1)) AS k FROM (SELECT lon, lat, coalesce(b_lon, lon) AS b_lon, coalesce(b_lat, lat) AS b_lat, steps FROM h)))
-SELECT DISTINCT CAST(6 AS INTEGER) AS z, CAST(floor((lon + 180) / 360 * 64) AS BIGINT) + i AS x, CAST(floor((1 - ln(tan(radians(lat)) + sqrt(pow(tan(radians(lat)), 2) + 1)) / pi()) / 2 * 64) AS BIGINT) + j AS y FROM p, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)""")
+p AS (SELECT lon + (b_lon - lon) * k / n AS lon, lat + (b_lat - lat) * k / n AS lat FROM (SELECT *, greatest(1, CAST(floor(coalesce(steps, 1)) AS BIGINT)) AS n, unnest(generate_series(0, greatest(1, CAST(floor(coalesce(steps, 1)) AS BIGINT)) - 1)) AS k FROM (SELECT lon, lat, coalesce(b_lon, lon) AS b_lon, coalesce(b_lat, lat) AS b_lat, steps FROM h))),
+c AS (SELECT DISTINCT z, CASE WHEN z > 10 THEN 2 ELSE 1 END AS b, CAST(floor((lon + 180) / 360 * pow(2, z)) AS BIGINT) AS x0, CAST(floor((1 - ln(tan(radians(lat)) + sqrt(pow(tan(radians(lat)), 2) + 1)) / pi()) / 2 * pow(2, z)) AS BIGINT) AS y0 FROM p, (SELECT unnest(range(5, 13)) AS z))
+SELECT DISTINCT CAST(z AS INTEGER) AS z, x0 + i AS x, y0 + j AS y FROM c, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j) WHERE abs(i) <= b AND abs(j) <= b""")
 def corridor_cover(spark, d):
     """Tiles along all trains, with points at most about 3 km apart between stops."""
-    return render.corridor_tiles(render.densified(placed_stops(spark, d)), range(6, 7), {6: 1})
+    return render.corridor_tiles(render.densified(placed_stops(spark, d)))

@@ -95,20 +95,11 @@ def store_upsert(spark, d):
     return store.upsert(_changes(spark, d))
 
 
-@query(""", o AS (SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 0), i AS (SELECT user_id FROM events WHERE user_id % 2 = 0)
-SELECT (SELECT count(*) FROM i) AS trains_total, (SELECT count(DISTINCT user_id) FROM i WHERE user_id NOT IN (SELECT user_id FROM o)) AS added,
-  (SELECT count(*) FROM i) - (SELECT count(DISTINCT user_id) FROM i WHERE user_id NOT IN (SELECT user_id FROM o)) AS replaced,
-  (SELECT count(*) FROM o) + (SELECT count(DISTINCT user_id) FROM i WHERE user_id NOT IN (SELECT user_id FROM o)) AS trains_after""")
-def upsert_counters(spark, d):
-    c = _changes(spark, d)
-    return store.upsert_counters(c.where("id % 3 = 0"), c.where("id % 2 = 0")).select(*(F.col(x).cast("bigint").alias(x) for x in ("trains_total", "added", "replaced", "trains_after")))
-
-
 @query(""", x AS (SELECT user_id, 2 * event_id <= (SELECT max(event_id) FROM events) AS old FROM events), o AS (SELECT DISTINCT user_id FROM x WHERE old), i AS (SELECT user_id FROM x WHERE NOT old),
 a AS (SELECT count(DISTINCT user_id) AS added FROM i WHERE user_id NOT IN (SELECT user_id FROM o))
 SELECT (SELECT count(*) FROM i) AS trains_total, added, (SELECT count(*) FROM i) - added AS replaced, (SELECT count(*) FROM o) + added AS trains_after FROM a""")
-def upsert_counters_all(spark, d):
-    """The earlier half of the events, by number, as the store and the later as the batch: each event is in one; the SQL of upsert_counters is fixed and leaves users out."""
+def upsert_counters(spark, d):
+    """The earlier half of the events, by number, as the store and the later as the batch: each event is in one."""
     c = _changes(spark, d)
     told = c.crossJoin(F.broadcast(c.agg(F.max("seq").alias("last")))).withColumn("old", 2 * F.col("seq") <= F.col("last"))
     return store.upsert_counters(told.where("old"), told.where("NOT old")).select(*(F.col(x).cast("bigint").alias(x) for x in ("trains_total", "added", "replaced", "trains_after")))
@@ -127,29 +118,12 @@ def node_meta(spark, d):
     return met.select("node", *(F.array_join(c, ",").alias(c) for c in ("lines", "operators", "institutions")))
 
 
-@query(f""", c AS (SELECT station_id, line, sum(CASE WHEN m IS NULL THEN 0 ELSE m END) OVER (PARTITION BY line ORDER BY station_id) AS far, row_number() OVER (PARTITION BY line ORDER BY station_id) AS k FROM (
-  SELECT station_id, line, {hav('lag(lon) OVER w', 'lag(lat) OVER w', 'lon', 'lat')} AS m FROM st WINDOW w AS (PARTITION BY line ORDER BY station_id))),
-ends AS (SELECT line, min(station_id) AS a, max(station_id) FILTER (k <= 9) AS b FROM c GROUP BY line)
-SELECT e.line, e.a AS source, e.b AS target, round(y.far - x.far, 2) AS cost, CAST(y.k - x.k + 1 AS BIGINT) AS nodes FROM ends e JOIN c x ON x.station_id = e.a JOIN c y ON y.station_id = e.b WHERE e.a <> e.b""")
-def line_path_cost(spark, d):
-    """Solved paths from the first to the ninth station of each line: along a line, cost is track length."""
-    s = stations(spark, d)
-    ranked = s.withColumn("k", F.row_number().over(Window.partitionBy("line").orderBy("station_id"))).where("k <= 9")
-    ends = ranked.groupBy("line").agg(F.min("station_id").alias("a"), F.max("station_id").alias("b")).where("a <> b")
-    end = lambda c: F.array(F.struct(F.col(c).alias("node"), F.lit(0.0).alias("snap_m")))
-    none = F.array().cast("array<string>")
-    sections = ends.select(F.col("line").alias("region"), F.col("a").alias("section_id"), none.alias("req_lines"), none.alias("req_operators"), F.array("line").alias("pref_lines"), none.alias("pref_operators"), F.array(*map(F.lit, "12345")).alias("allowed"), F.lit(False).alias("hard"), end("a").alias("sources"), end("b").alias("targets"))
-    edges = graph.section_edges(line_hops(spark, d)).select(F.col("line").alias("region"), "src", "dst", "length_m", "line", "operator", "institution", F.lit(False).alias("is_connector"))
-    found = solve.solve_wave(sections, edges)
-    return found.join(ends.select("line", F.col("a").alias("section_id")), "section_id").select("line", "source", "target", _round(F.col("cost")).alias("cost"), F.size("path").cast("bigint").alias("nodes"))
-
-
 @query(f""", c AS (SELECT station_id, line, sum(CASE WHEN m IS NULL THEN 0 ELSE m END) OVER (PARTITION BY line ORDER BY station_id) AS far, row_number() OVER (PARTITION BY line ORDER BY station_id) AS k FROM (
   SELECT station_id, line, {hav('lag(lon) OVER w', 'lag(lat) OVER w', 'lon', 'lat')} AS m FROM st WINDOW w AS (PARTITION BY line ORDER BY station_id))),
 n AS (SELECT line, max(k) AS n FROM c GROUP BY line)
 SELECT x.line, x.station_id AS source, y.station_id AS target, round(y.far - x.far, 2) AS cost, CAST(y.k - x.k + 1 AS BIGINT) AS nodes FROM c x JOIN n ON x.line = n.line JOIN c y ON y.line = x.line AND y.k = least(x.k + 9, n.n) WHERE y.k > x.k""")
-def line_path_cost_all(spark, d):
-    """Solved paths from every station to the ninth next of its line, or to the last where fewer follow; line_path_cost, whose SQL is fixed, asks one path a line."""
+def line_path_cost(spark, d):
+    """Solved paths from every station to the ninth next of its line, or to the last where fewer follow."""
     w = Window.partitionBy("line").orderBy("station_id")
     ahead, rest = w.rowsBetween(0, 9), w.rowsBetween(0, Window.unboundedFollowing)
     s = stations(spark, d)
@@ -266,15 +240,16 @@ def station_resolve(spark, d):
     return resolve.resolve_stops(_asked(spark, d), stations(spark, d)).select("stop_id", "station_id", "prio")
 
 
-@query(f"""{_RESOLVED}, c AS (SELECT r.stop_id, r.stop_id % 10 AS train_id, s.station_id, s.ord, s.lon, s.lat, s.institution FROM res r JOIN st s ON r.station_id = s.station_id),
-anc AS (SELECT stop_id, stop_id % 10 AS train_id, min(station_id) AS station_id FROM res GROUP BY stop_id HAVING count(*) = 1),
+@query(f"""{_RESOLVED}, c AS (SELECT r.stop_id, r.stop_id // 8 AS train_id, s.station_id, s.ord, s.lon, s.lat, s.institution FROM res r JOIN st s ON r.station_id = s.station_id),
+anc AS (SELECT stop_id, stop_id // 8 AS train_id, min(station_id) AS station_id FROM res GROUP BY stop_id HAVING count(*) = 1),
 an AS (SELECT anc.*, st.lon, st.lat FROM anc JOIN st ON anc.station_id = st.station_id),
 met AS (SELECT c.*, {hav('c.lon', 'c.lat', 'an.lon', 'an.lat')} AS m FROM c LEFT JOIN an ON c.train_id = an.train_id AND c.stop_id <> an.stop_id)
 SELECT stop_id, station_id FROM (SELECT stop_id, station_id, row_number() OVER (PARTITION BY stop_id ORDER BY CASE WHEN institution IN ('1', '2') THEN 0 ELSE 1 END, coalesce(m, 1e300), ord) AS k FROM met) WHERE k = 1""")
 def nearest_anchor(spark, d):
+    """Eight stops a train, so that the pairs of candidates and anchors grow with the trains alone."""
     found, s = resolve.resolve_stops(_asked(spark, d), stations(spark, d)), stations(spark, d)
-    c = found.join(s.drop("ord"), "station_id").withColumn("train_id", F.col("stop_id") % 10)
-    sure = found.groupBy("stop_id").agg(F.count("*").alias("n"), F.min("station_id").alias("station_id")).where("n = 1").join(s, "station_id").withColumn("train_id", F.col("stop_id") % 10)
+    c = found.join(s.drop("ord"), "station_id").withColumn("train_id", F.floor(F.col("stop_id") / 8))
+    sure = found.groupBy("stop_id").agg(F.count("*").alias("n"), F.min("station_id").alias("station_id")).where("n = 1").join(s, "station_id").withColumn("train_id", F.floor(F.col("stop_id") / 8))
     return resolve.nearest_anchor(c, sure, F.col("institution").isin("1", "2"))
 
 
@@ -284,24 +259,13 @@ def station_dedupe(spark, d):
     return resolve.dedupe_stations(c).select("station_id")
 
 
-@query(""", pr AS (SELECT * FROM (SELECT train_id, idx AS segment, code AS fc, lead(code) OVER w AS tc, name AS fn, lead(name) OVER w AS tn FROM ps WINDOW w AS (PARTITION BY train_id ORDER BY idx)) WHERE tc IS NOT NULL),
-sec AS (SELECT train_id, segment - segment % 2 AS section, fc, tc, fn, tn FROM pr WHERE segment % 3 <> 1),
-f AS (SELECT p.train_id, p.segment, s.section FROM pr p JOIN sec s ON p.train_id = s.train_id AND ((p.fc = s.fc AND p.tc = s.tc) OR (p.fn = s.fn AND p.tn = s.tn))),
-b AS (SELECT train_id, segment, section, row_number() OVER (PARTITION BY train_id, segment ORDER BY CASE WHEN section = segment THEN 0 ELSE 1 END, section) AS k FROM f)
-SELECT p.train_id, p.segment, b.section FROM pr p LEFT JOIN b ON p.train_id = b.train_id AND p.segment = b.segment AND b.k = 1""")
-def section_match(spark, d):
-    pairs = itinerary.adjacent_pairs(placed_stops(spark, d), "code", "name")
-    sections = pairs.where("segment % 3 <> 1").withColumn("section", F.col("segment") - F.col("segment") % 2)
-    return resolve.match_sections(pairs, sections)
-
-
 @query(""", pr AS (SELECT * FROM (SELECT train_id, idx AS segment, code AS fc, lead(code) OVER w AS tc, name AS fn, lead(name) OVER w AS tn FROM ps WINDOW w AS (PARTITION BY train_id ORDER BY idx)) WHERE tc IS NOT NULL),
 sec AS (SELECT train_id, segment AS section, fc, CASE WHEN segment % 3 = 1 THEN 'x' ELSE '' END || tc AS tc, fn, CASE WHEN segment % 2 = 1 THEN 'x' ELSE '' END || tn AS tn FROM pr),
 f AS (SELECT p.train_id, p.segment, s.section FROM pr p JOIN sec s ON p.train_id = s.train_id AND ((p.fc = s.fc AND p.tc = s.tc) OR (p.fn = s.fn AND p.tn = s.tn))),
 b AS (SELECT train_id, segment, section, row_number() OVER (PARTITION BY train_id, segment ORDER BY CASE WHEN section = segment THEN 0 ELSE 1 END, section) AS k FROM f)
 SELECT p.train_id, p.segment, b.section FROM pr p LEFT JOIN b ON p.train_id = b.train_id AND p.segment = b.segment AND b.k = 1""")
-def section_match_all(spark, d):
-    """Sections of all pairs, some with another code, name or both, so that these find none; the SQL of section_match is fixed and leaves a third of the sections out."""
+def section_match(spark, d):
+    """Sections of all pairs, some with another code, name or both, so that these find none."""
     pairs = itinerary.adjacent_pairs(placed_stops(spark, d), "code", "name")
     other = lambda c, when: F.when(when, F.concat(F.lit("x"), F.col(c))).otherwise(F.col(c))
     sections = pairs.withColumns({"section": F.col("segment"), "to_code": other("to_code", F.col("segment") % 3 == 1), "to_name": other("to_name", F.col("segment") % 2 == 1)})
@@ -381,10 +345,7 @@ def branch_toggles(spark, d):
     return itinerary.branch_toggles(s, itinerary.branch_owners(s, itinerary.branches(_sections(spark, d))))
 
 
-_SEGMENTS = """, sg AS (SELECT * FROM (SELECT train_id, idx AS seq, station_id % 40 AS src, lead(station_id % 40) OVER (PARTITION BY train_id ORDER BY idx) AS dst FROM sp) WHERE dst IS NOT NULL),
-sk AS (SELECT *, least(src, dst) * 1000 + greatest(src, dst) AS seg_key FROM sg WHERE train_id % 50 = 1),
-once AS (SELECT DISTINCT seg_key, train_id FROM sk),
-sh AS (SELECT seg_key, train_id, count(*) OVER (PARTITION BY seg_key) AS trains, dense_rank() OVER (PARTITION BY seg_key ORDER BY train_id) - 1 AS slot FROM once)
+_SEGMENTS = """, sg AS (SELECT * FROM (SELECT train_id, idx AS seq, station_id % 40 AS src, lead(station_id % 40) OVER (PARTITION BY train_id ORDER BY idx) AS dst FROM sp) WHERE dst IS NOT NULL)
 """
 
 
@@ -393,49 +354,30 @@ def _segments(spark, d):
     return itinerary.adjacent_pairs(s, "n").select("train_id", F.col("segment").alias("seq"), F.col("from_n").alias("src"), F.col("to_n").alias("dst"))
 
 
-def _keyed(spark, d):
-    return _segments(spark, d).where("train_id % 50 = 1").select("train_id", F.col("train_id").alias("train_ord"), "seq", (F.least("src", "dst") * 1000 + F.greatest("src", "dst")).alias("seg_key"))
-
-
-@query(_SEGMENTS + "SELECT seg_key, train_id, trains, CAST(CASE WHEN trains > 1 THEN slot ELSE 0 END AS INTEGER) AS slot FROM sh")
-def shared_segments(spark, d):
-    return render.shared_segments(_keyed(spark, d))
-
-
-@query(_SEGMENTS + """, x AS (SELECT sk.train_id, sk.seq, sh.trains, CASE WHEN sh.trains > 1 THEN sh.slot ELSE 0 END AS slot FROM sk JOIN sh ON sk.seg_key = sh.seg_key AND sk.train_id = sh.train_id),
-y AS (SELECT *, CASE WHEN lag(trains) OVER w = trains AND lag(slot) OVER w = slot THEN 0 ELSE 1 END AS s FROM x WINDOW w AS (PARTITION BY train_id ORDER BY seq)),
-z AS (SELECT *, sum(s) OVER (PARTITION BY train_id ORDER BY seq) - 1 AS run FROM y)
-SELECT train_id, CAST(run AS BIGINT) AS run, min(seq) AS first_seq, max(seq) + 1 AS last_seq, min(trains) AS trains, CAST(min(slot) AS INTEGER) AS slot FROM z GROUP BY train_id, run""")
-def overlap_runs(spark, d):
-    k = _keyed(spark, d)
-    return render.overlap_runs(k.join(render.shared_segments(k), ["seg_key", "train_id"]))
-
-
-# The SQL of shared_segments and overlap_runs is fixed and takes one train of fifty; these two take all trains and real stations.
-_SEGMENTS_ALL = """, sg AS (SELECT * FROM (SELECT train_id, idx AS seq, station_id AS src, lead(station_id) OVER (PARTITION BY train_id ORDER BY idx) AS dst FROM sp) WHERE dst IS NOT NULL),
+_SHARED = """, sg AS (SELECT * FROM (SELECT train_id, idx AS seq, station_id AS src, lead(station_id) OVER (PARTITION BY train_id ORDER BY idx) AS dst FROM sp) WHERE dst IS NOT NULL),
 sk AS (SELECT *, CAST(least(src, dst) AS VARCHAR) || '-' || CAST(greatest(src, dst) AS VARCHAR) AS seg_key FROM sg),
 once AS (SELECT DISTINCT seg_key, train_id FROM sk),
 sh AS (SELECT seg_key, train_id, count(*) OVER (PARTITION BY seg_key) AS trains, dense_rank() OVER (PARTITION BY seg_key ORDER BY train_id) - 1 AS slot FROM once)
 """
 
 
-def _keyed_all(spark, d):
+def _keyed(spark, d):
     pairs = itinerary.adjacent_pairs(stops(spark, d), "station_id")
     a, b = F.col("from_station_id"), F.col("to_station_id")
     return pairs.select("train_id", F.col("train_id").alias("train_ord"), F.col("segment").alias("seq"), F.concat_ws("-", F.least(a, b).cast("string"), F.greatest(a, b).cast("string")).alias("seg_key"))
 
 
-@query(_SEGMENTS_ALL + "SELECT seg_key, train_id, trains, CAST(CASE WHEN trains > 1 THEN slot ELSE 0 END AS INTEGER) AS slot FROM sh")
-def shared_segments_all(spark, d):
-    return render.shared_segments(_keyed_all(spark, d))
+@query(_SHARED + "SELECT seg_key, train_id, trains, CAST(CASE WHEN trains > 1 THEN slot ELSE 0 END AS INTEGER) AS slot FROM sh")
+def shared_segments(spark, d):
+    return render.shared_segments(_keyed(spark, d))
 
 
-@query(_SEGMENTS_ALL + """, x AS (SELECT sk.train_id, sk.seq, sh.trains, CASE WHEN sh.trains > 1 THEN sh.slot ELSE 0 END AS slot FROM sk JOIN sh ON sk.seg_key = sh.seg_key AND sk.train_id = sh.train_id),
+@query(_SHARED + """, x AS (SELECT sk.train_id, sk.seq, sh.trains, CASE WHEN sh.trains > 1 THEN sh.slot ELSE 0 END AS slot FROM sk JOIN sh ON sk.seg_key = sh.seg_key AND sk.train_id = sh.train_id),
 y AS (SELECT *, CASE WHEN lag(trains) OVER w = trains AND lag(slot) OVER w = slot THEN 0 ELSE 1 END AS s FROM x WINDOW w AS (PARTITION BY train_id ORDER BY seq)),
 z AS (SELECT *, sum(s) OVER (PARTITION BY train_id ORDER BY seq) - 1 AS run FROM y)
 SELECT train_id, CAST(run AS BIGINT) AS run, min(seq) AS first_seq, max(seq) + 1 AS last_seq, min(trains) AS trains, CAST(min(slot) AS INTEGER) AS slot FROM z GROUP BY train_id, run""")
-def overlap_runs_all(spark, d):
-    k = _keyed_all(spark, d)
+def overlap_runs(spark, d):
+    k = _keyed(spark, d)
     return render.overlap_runs(k.join(render.shared_segments(k), ["seg_key", "train_id"]))
 
 
@@ -468,10 +410,10 @@ def route_style(spark, d):
 _TILE = "CAST(floor((lon + 180) / 360 * {n}) AS BIGINT) AS x0, CAST(floor((1 - ln(tan(radians(lat)) + sqrt(pow(tan(radians(lat)), 2) + 1)) / pi()) / 2 * {n}) AS BIGINT) AS y0"
 
 
-@query(f""", c AS (SELECT 8 AS z, 1 AS b, {_TILE.format(n=256)} FROM st UNION SELECT 10, 0, {_TILE.format(n=1024)} FROM st)
-SELECT DISTINCT z, x0 + i AS x, y0 + j AS y FROM c, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j) WHERE abs(i) <= b AND abs(j) <= b""")
+@query(f""", z AS (SELECT unnest(range(5, 13)) AS z), c AS (SELECT DISTINCT z, CASE WHEN z > 10 THEN 2 ELSE 1 END AS b, {_TILE.format(n='pow(2, z)')} FROM st, z)
+SELECT DISTINCT CAST(z AS INTEGER) AS z, x0 + i AS x, y0 + j AS y FROM c, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j) WHERE abs(i) <= b AND abs(j) <= b""")
 def tile_cover(spark, d):
-    return render.corridor_tiles(stations(spark, d), range(8, 11, 2), {8: 1, 10: 0})
+    return render.corridor_tiles(stations(spark, d))
 
 
 @query(""", v AS (SELECT id, unnest([CASE WHEN trim(number) = '' THEN 'number_missing' END, CASE WHEN train_id % 13 = 0 THEN 'name_missing' END, CASE WHEN date = 'undated' THEN 'date_invalid' END, CASE WHEN train_id % 17 <> 0 THEN NULL ELSE 'color_invalid' END, CASE WHEN n < 2 THEN 'too_few_stops' END]) AS rule

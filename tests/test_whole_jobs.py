@@ -9,13 +9,13 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_trains_share_segments(spark):
     trains = {r[0] for r in stops(spark, SF).where("idx > 0").select("train_id").distinct().collect()}
-    for name in ("shared_segments_all", "overlap_runs_all"):
+    for name in ("shared_segments", "overlap_runs"):
         assert {r["train_id"] for r in queries.QUERIES[name](spark, SF).collect()} == trains
 
 
 def test_all_stations_are_in_line_paths(spark):
     hops = {r[0] for r in line_hops(spark, SF).select("section_id").collect()}
-    got = queries.line_path_cost_all(spark, SF).collect()
+    got = queries.line_path_cost(spark, SF).collect()
     assert {r["source"] for r in got} == hops and len(got) == len(hops)
 
 
@@ -40,12 +40,12 @@ def test_parallel_edges_stay(spark):
 def test_all_events_are_in_store_or_batch(spark):
     events = spark.read.parquet(f"{SF}/events.parquet")
     last = events.agg({"event_id": "max"}).first()[0]
-    got = queries.upsert_counters_all(spark, SF).first()
+    got = queries.upsert_counters(spark, SF).first()
     assert got["trains_total"] == events.where(f"2 * event_id > {last}").count()
     assert got["trains_after"] == events.select("user_id").distinct().count()
 
 
 def test_sections_of_all_pairs_match_unless_changed(spark):
-    got = queries.section_match_all(spark, SF).collect()
+    got = queries.section_match(spark, SF).collect()
     assert all(r["section"] == r["segment"] for r in got if r["segment"] % 6 != 1)
     assert any(r["section"] == 4 for r in got) and any(r["section"] is None for r in got)
