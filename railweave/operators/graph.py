@@ -61,6 +61,11 @@ def edge_allowed(institution: Column, connector_codes: Column, is_connector: Col
     return F.when(is_connector, F.forall(F.coalesce(connector_codes, F.array().cast("array<string>")), one)).otherwise(one(F.coalesce(institution, F.lit(""))))
 
 
+def node_allowed(institutions: Column, allowed: Column) -> Column:
+    """Whether a node lies on track of any allowed institution; no list of allowed ones allows all, a node without institutions is on none."""
+    return (F.coalesce(F.size(allowed), F.lit(0)) <= 0) | F.coalesce(F.arrays_overlap(institutions, allowed), F.lit(False))
+
+
 def edge_required(line: Column, operator: Column, is_connector: Column, lines: Column, operators: Column) -> Column:
     """Connectors pass; others need a required line and a required operator, where such are given."""
     return is_connector | (((F.size(lines) == 0) | F.array_contains(lines, line)) & ((F.size(operators) == 0) | F.array_contains(operators, operator)))

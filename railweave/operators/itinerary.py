@@ -7,7 +7,7 @@ are by train.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dates import UNDATED
-from ..functions.text import blank_to_null
+from ..functions.text import blank_to_null, first_truthy
 
 PASSING = "pass_through"
 
@@ -146,3 +146,9 @@ def reconciled_date(buckets: DataFrame, selected: str) -> DataFrame:
 def canonical_times(stops: DataFrame) -> DataFrame:
     """`stops` with blank arrival and departure texts turned to null."""
     return stops.withColumns({c: blank_to_null(F.col(c)) for c in ("arrival", "departure") if c in stops.columns})
+
+
+def segment_label(section_number: Column, section_name: Column, number: Column, name: Column) -> Column:
+    """What a segment is called: the section's name, else the train's, else its number; then the section's number, or the train's where that differs from its name."""
+    short = F.coalesce(first_truthy(section_number), F.when(~number.eqNullSafe(name), first_truthy(number)))
+    return F.concat_ws("\u3000", F.coalesce(first_truthy(section_name, name, number), F.lit("")), short)

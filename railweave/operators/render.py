@@ -2,7 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.geo import haversine_m, tile_x, tile_y
+from ..functions.geo import haversine_m, offset_degrees, offset_path, tile_x, tile_y
+from ..functions.text import hex_to_rgb
 
 
 def shared_segments(segments: DataFrame) -> DataFrame:
@@ -97,3 +98,56 @@ def corridor_tiles(points: DataFrame, buffer: dict[int, int] | None = None) -> D
     span = lambda c: F.explode(F.sequence(F.col(c) - F.col("b"), F.col(c) + F.col("b")))
     around = centres.withColumn("x", span("x0")).withColumn("y", span("y0")).withColumn("n", F.pow(F.lit(2), F.col("z")))
     return around.where((F.col("x") >= 0) & (F.col("x") < F.col("n")) & (F.col("y") >= 0) & (F.col("y") < F.col("n"))).select("z", "x", "y").distinct()
+
+
+#: Tiles a line may span on a side to be drawn whole; pixels of lanes and of what can be clicked.
+WHOLE_TILES, LANE_PX, LEAST_PICK_PX, PICK_MORE_PX, PICK_PX = 4, 6.0, 6.0, 8.0, 14.0
+
+
+def tile_pieces(lines: DataFrame, zoom: int) -> DataFrame:
+    """(line_id, x, y, piece): the tiles a line (line_id, points) is drawn on.
+
+    A line that spans few tiles is drawn whole (piece NULL) on each tile of its box, another
+    by pieces, numbered from 0, on the tiles of their boxes. A line of one point is a box; one
+    without points is on none.
+    """
+    tiles = lambda points: F.transform(points, lambda p: F.struct(tile_x(p["lon"], zoom).alias("x"), tile_y(p["lat"], zoom).alias("y")))
+    least, most = (lambda c: F.array_min(F.col(f"_t.{c}"))), (lambda c: F.array_max(F.col(f"_t.{c}")))
+    boxed = lines.where(F.size("points") > 0).select("line_id", tiles(F.col("points")).alias("_t")).select("line_id", "_t", *(f(c).alias(f"{c}{k}") for c in "xy" for k, f in ((0, least), (1, most))))
+    whole = (F.col("x1") - F.col("x0") <= WHOLE_TILES) & (F.col("y1") - F.col("y0") <= WHOLE_TILES)
+    box = lambda x0, x1, y0, y1, piece: F.struct(x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"), piece.cast("int").alias("piece"))
+    one = F.array(box(*(F.col(c) for c in ("x0", "x1", "y0", "y1")), F.lit(None)))
+    hop = lambda a, k: (lambda b: box(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"]), F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]), k))(F.col("_t")[k + 1])
+    many = F.transform(F.slice("_t", 1, F.size("_t") - 1), hop)
+    boxes = boxed.select("line_id", F.explode(F.when(whole, one).otherwise(many)).alias("b"))
+    across = boxes.select("line_id", "b.*").withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("y", F.explode(F.sequence("y0", "y1")))
+    return across.select("line_id", "x", "y", "piece")
+
+
+def route_records(segments: DataFrame, trains: DataFrame, zoom: float) -> DataFrame:
+    """(train_id, run, path, pick_path, r, g, b, alpha, width, pick_width, trains, slot): what is drawn, a row for each run of equal sharing.
+
+    segments: (train_id, seq, from_lon, from_lat, to_lon, to_lat, shown, trains, slot), in order
+    of seq; trains: (train_id, color, style struct<width, opacity>). Segments that are not
+    shown are not drawn and end a run, and so does a gap in seq. The path stays on its track;
+    where trains share it, `pick_path` is moved aside into the lane of the slot.
+    """
+    w = Window.partitionBy("train_id").orderBy("seq")
+    drawn = segments.where(F.coalesce(F.col("shown"), F.lit(False)))
+    same = (F.lag("trains").over(w) == F.col("trains")) & (F.lag("slot").over(w) == F.col("slot")) & (F.lag("seq").over(w) == F.col("seq") - 1)
+    numbered = drawn.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("_new").over(w) - 1)
+    point = lambda end: F.struct(F.col(f"{end}_lon").alias("lon"), F.col(f"{end}_lat").alias("lat"))
+    runs = numbered.groupBy("train_id", "run").agg(F.array_sort(F.collect_list(F.struct("seq", point("from").alias("a")))).alias("_s"), F.max_by(point("to"), "seq").alias("_end"), F.first("trains").alias("trains"), F.first("slot").alias("slot"))
+    path = F.concat(F.transform("_s", lambda x: x["a"]), F.array("_end"))
+    told = runs.withColumn("path", path).join(trains.select("train_id", "color", "style"), "train_id").where("style.opacity > 0")
+    lane = (F.col("slot") - (F.col("trains") - 1) / 2) * offset_degrees(F.lit(LANE_PX), F.col("path")[0]["lat"], zoom)
+    shared, width = F.col("trains") > 1, F.col("style.width")
+    alpha = F.round(F.least(F.col("style.opacity"), F.lit(1.0)) * 255).cast("int")
+    pick = F.when(shared, F.greatest(F.lit(LANE_PX), F.lit(LEAST_PICK_PX))).otherwise(F.greatest(width + PICK_MORE_PX, F.lit(PICK_PX)))
+    return told.select("train_id", "run", "path", F.when(shared & (lane != 0), offset_path(F.col("path"), lane)).otherwise(F.col("path")).alias("pick_path"), hex_to_rgb(F.col("color")).alias("_c"), alpha.alias("alpha"), width.alias("width"), pick.alias("pick_width"), "trains", "slot").select("train_id", "run", "path", "pick_path", "_c.*", "alpha", "width", "pick_width", "trains", "slot")
+
+
+def split_markers(markers: DataFrame, hidden: list[str], selected: Column) -> DataFrame:
+    """Markers of the categories that are not hidden, with `layer`: those of the selected train lie on top of the base."""
+    shown = markers.where(~F.coalesce(F.col("category").isin(*hidden), F.lit(False))) if hidden else markers
+    return shown.withColumn("layer", F.when(F.coalesce(selected, F.lit(False)), "selected").otherwise("base"))

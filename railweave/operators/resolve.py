@@ -146,3 +146,25 @@ def allowed_codes(explicit: Column, default: tuple[str, ...] = ("1", "2", "3", "
 def institution_allowed(code: Column, allowed: Column) -> Column:
     """A blank code passes; another must be allowed."""
     return (F.coalesce(code, F.lit("")) == "") | F.array_contains(allowed, code)
+
+
+def stop_features(stops: DataFrame, matched: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Stops (train_id, idx, name, code, group_code) with the place to draw them at.
+
+    matched: places found earlier (train_id, place, station, name, code, group_code, line,
+    operator, lon, lat); the first of the train by `place` with the stop's code or name is
+    taken. Else that of `resolved` (train_id, idx, code, group_code, line, operator, lon, lat).
+    A stop's own code and group come first; blank codes and names meet none; source is
+    `matched`, `resolved`, or NULL for stops without a place.
+    """
+    fields = ("code", "group_code", "line", "operator", "lon", "lat")
+    keys = lambda *pairs: F.explode(F.array_distinct(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("value")) for kind, c in pairs))))
+    asked = stops.select("train_id", "idx", keys(("code", "code"), ("name", "name")).alias("_k")).where("_k.value <> ''")
+    there = matched.select("train_id", "place", F.struct(*fields).alias("_m"), keys(("code", "code"), ("name", "station"), ("name", "name")).alias("_k")).where("_k.value <> ''")
+    found = asked.join(there, ["train_id", "_k"]).groupBy("train_id", "idx").agg(F.min_by("_m", "place").alias("_m"))
+    other = resolved.select("train_id", "idx", F.struct(*fields).alias("_r"))
+    told = stops.join(found, ["train_id", "idx"], "left").join(other, ["train_id", "idx"], "left")
+    at = F.coalesce("_m", "_r")
+    own = lambda c: F.coalesce(F.when(F.col(c) != "", F.col(c)), at[c]).alias(c)
+    source = F.when(F.col("_m").isNotNull(), "matched").when(F.col("_r").isNotNull(), "resolved")
+    return told.select("train_id", "idx", "name", own("code"), own("group_code"), *(at[c].alias(c) for c in ("line", "operator", "lon", "lat")), source.alias("source"))

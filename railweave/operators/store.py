@@ -106,6 +106,24 @@ def moved(trains: DataFrame, train_id: str, by: int, key: str = "id") -> DataFra
     return told.withColumn("ord", swap).drop("_mine", "_other")
 
 
+def stops_edited(stops: DataFrame, edits: DataFrame) -> DataFrame:
+    """`stops` (train_id, idx, ...) after one edit of a train at most: edits (train_id, idx, action) move a stop up or down, or delete it.
+
+    idx counts from 0 without gaps, before and after. An edit past the ends moves nothing, one
+    of a stop that is not there does nothing; of several edits of a train the least idx, then
+    the least action, is taken.
+    """
+    taken = edits.groupBy("train_id").agg(F.min(F.struct("idx", "action")).alias("_e"))
+    told = stops.join(taken, "train_id", "left").withColumn("_last", F.max("idx").over(Window.partitionBy("train_id")))
+    at, action, idx = F.col("_e.idx"), F.col("_e.action"), F.col("idx")
+    up = (action == "up") & (at > 0) & (at <= F.col("_last"))
+    down = (action == "down") & (at >= 0) & (at < F.col("_last"))
+    other = F.when(up, at - 1).when(down, at + 1)
+    now = F.when(idx == at, F.coalesce(other, idx)).when(idx == other, at).when((action == "delete") & (at >= 0) & (idx > at), idx - 1).otherwise(idx)
+    kept = told.where(~F.coalesce((action == "delete") & (idx == at), F.lit(False)))
+    return kept.withColumn("idx", now).drop("_e", "_last")
+
+
 def solved_with_cache(sections: DataFrame, cache: DataFrame, solve: Callable[[DataFrame], DataFrame], key: str = "route_key") -> DataFrame:
     """Cached routes of the sections and, for keys the cache lacks, solved ones, each key solved once."""
     asked = sections.dropDuplicates([key])

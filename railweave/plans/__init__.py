@@ -1,3 +1,3 @@
 """The rail model projected from the given tables, and every query beside its SQL twin; all of them once this package is imported."""
 
-from . import details, queries  # noqa: F401
+from . import details, queries, records  # noqa: F401

@@ -48,3 +48,20 @@ def stations(features: DataFrame, shown: str = "first_vertex") -> DataFrame:
     longest = F.try_element_at(F.array_sort("lines", lambda a, b: F.size(b) - F.size(a)), F.lit(1))
     point = F.try_element_at(longest, (F.floor(F.size(longest) / 2) + 1).cast("int")) if shown == "midpoint" else F.try_element_at(F.try_element_at("lines", F.lit(1)), F.lit(1))
     return made.select(F.col("ord").alias("station_id"), "ord", "name", normalize_name(F.col("name")).alias("norm_name"), "code", "group_code", "line", "operator", "institution", F.coalesce(F.col("display")[0], point["lon"]).alias("lon"), F.coalesce(F.col("display")[1], point["lat"]).alias("lat"), "lines")
+
+
+#: The properties that rail sections and stations must have.
+SECTION_FIELDS = ("N02_001", "N02_002", "N02_003", "N02_004")
+STATION_FIELDS = SECTION_FIELDS + ("N02_005", "N02_005c", "N02_005g")
+
+
+def feature_findings(features: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """(ord, level, finding): an error for each required property a feature (ord, properties, geometry) lacks, a warning where its geometry is no line and is skipped.
+
+    A blank or null property is lacking; one line of two points or more makes a geometry.
+    """
+    lacking = F.array_compact(F.array(*(F.when(_property(n).isNull(), F.struct(F.lit("error").alias("level"), F.lit(f"{n} is missing").alias("finding"))) for n in required)))
+    drawn = F.coalesce(F.exists(geometry_lines(F.col("geometry")), lambda line: F.size(line) >= 2), F.lit(False))
+    kind = F.coalesce(F.get_json_object("geometry", "$.type"), F.lit("none"))
+    skipped = F.when(drawn, F.array().cast("array<struct<level:string,finding:string>>")).otherwise(F.array(F.struct(F.lit("warning").alias("level"), F.concat(F.lit("geometry is skipped: "), kind).alias("finding"))))
+    return features.select("ord", F.explode(F.concat(lacking, skipped)).alias("f")).select("ord", "f.*")
