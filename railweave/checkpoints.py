@@ -23,8 +23,13 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def new_path(session: SparkSession) -> str:
+    """The path of a table or data set in `folder` that does not exist yet."""
+    return f"{folder(session)}/{uuid4()}"
+
+
 def written(frame: DataFrame) -> DataFrame:
     """`frame`, written as Parquet in `folder` and read from there: for texts, of which a reader may want some columns."""
-    path = f"{folder(frame.sparkSession)}/{uuid4()}"
+    path = new_path(frame.sparkSession)
     frame.write.parquet(path)
     return frame.sparkSession.read.parquet(path)
