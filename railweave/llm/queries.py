@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, langid, licenses, quality, sharding, simhash, token_counts, toxicity
+from ..checkpoints import new_path
+from . import bpe, chat, decontaminate, filter_audit, langid, lexical, licenses, quality, sharding, simhash, token_counts, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +53,22 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_benchmark_decontamination, op4_license_scan, op5_toxicity, op6_byte_bpe, op7_language_id, op8_quality_rules, op9_chat_format, op10_feistel_shards)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = filter_audit.document_flags(_table(spark, sf_dir, "documents"))
+    return filter_audit.filter_audit(filter_audit.with_labels(flags, _table(spark, sf_dir, "labels")))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_documents(spark, path)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_benchmark_decontamination, op4_license_scan, op5_toxicity, op6_byte_bpe, op7_language_id, op8_quality_rules, op9_chat_format, op10_feistel_shards, op11_filter_audit, op12_token_files, op13_ranked_search)}
 
 ORACLE_SQL = {
     "op3_benchmark_decontamination": r"""
@@ -88,4 +104,42 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(12 + length(role) + 1 + said + 11) AS BIGINT) AS formatted_chars,
   bool_and((before IS NULL AND role IN ('system', 'user')) OR (before = 'system' AND role = 'user') OR (before = 'user' AND role = 'assistant') OR (before = 'assistant' AND role = 'user')) AND bool_or(back = 1 AND role IN ('user', 'assistant')) AS valid
 FROM e GROUP BY conv_id""",
+    "op11_filter_audit": r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT w.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+    [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+     regexp_matches(text, '[#$%&*|]'), coalesce(w.doc_id > least, false)] AS fails
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+n AS (SELECT part, good, toxic, fails, count(*) AS docs FROM f GROUP BY ALL),
+x AS (SELECT unnest(generate_series(1, 5)) AS i),
+o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS perm FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+r AS (
+  SELECT n.*, [substr('ABCDE', i, 1) for i in perm] AS letters, [fails[i] for i in perm] AS seen,
+    coalesce(list_position([fails[i] for i in perm], true), 6) AS first_at FROM n, o),
+s AS (SELECT r.*, x.i AS step, letters[x.i] AS letter, seen[x.i] AS failing, len([v for v in fails if v]) AS n_fails FROM r, x),
+g AS (
+  SELECT part, array_to_string(letters, '') AS filter_order, CAST(step AS INTEGER) AS step, any_value(letter) AS letter,
+    CAST(coalesce(sum(docs) FILTER (first_at > step), 0) AS BIGINT) AS kept, CAST(coalesce(sum(docs) FILTER (first_at = step), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(docs) FILTER (failing AND first_at < step), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(docs) FILTER (failing AND n_fails = 1), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(docs) FILTER (first_at = step AND good), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(docs) FILTER (first_at = step AND toxic), 0) AS BIGINT) AS toxic_lost
+  FROM s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM g""",
+    "op13_ranked_search": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY doc_id, term),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (
+  SELECT item_id, term, count(*) AS asked FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL)
+  GROUP BY item_id, term),
+s AS (
+  SELECT q.item_id, p.doc_id, CAST(sum(q.asked * CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * f.df + 1))) AS BIGINT) * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * p.n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN f ON q.term = f.term JOIN p ON q.term = p.term CROSS JOIN c GROUP BY q.item_id, p.doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20""",
 }
