@@ -13,13 +13,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, recursive: bool = False):
     """Registers a function under its name, with the end of its SQL (the model's tables come before it)."""
 
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = f"WITH {SQL}{sql if sql.lstrip().startswith(',') else ' ' + sql}"
+            ORACLE_SQL[f.__name__] = f"WITH {'RECURSIVE ' * recursive}{SQL}{sql if sql.lstrip().startswith(',') else ' ' + sql}"
         return f
 
     return register
@@ -204,10 +204,15 @@ r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY metres
 SELECT a.station_id AS src, b.station_id AS dst, min(a.g) AS group_key, round(min({hav('a.lon', 'a.lat', 'b.lon', 'b.lat')}), 2) AS gap_m, round(min({hav('a.lon', 'a.lat', 'b.lon', 'b.lat')}) + 180, 2) AS length_m
 FROM r a JOIN r b ON a.g = b.g AND a.station_id < b.station_id WHERE {hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 900 GROUP BY 1, 2""")
 def transfer_edges(spark, d):
+    return transfer_chords(spark, d).select("src", "dst", "group_key", _round(F.col("gap_m")).alias("gap_m"), _round(F.col("length_m")).alias("length_m"))
+
+
+def transfer_chords(spark, d):
+    """Connectors between stations of one cell of a hundredth of a degree."""
     cx, cy = F.floor(F.col("lon_e5") / 1000), F.floor(F.col("lat_e5") / 1000)
     middle = lambda c: (c * 1000 + 500) / 100000
     members = stations(spark, d).select((cx * 100000 + cy).alias("group_key"), F.col("station_id").alias("node_id"), "lon", "lat", geo.haversine_m(middle(cx), middle(cy), F.col("lon"), F.col("lat")).alias("metres"))
-    return graph.transfer_edges(members).select("src", "dst", "group_key", _round(F.col("gap_m")).alias("gap_m"), _round(F.col("length_m")).alias("length_m"))
+    return graph.transfer_edges(members)
 
 
 @query(" SELECT DISTINCT key, station_id FROM (SELECT unnest([code, name, norm_name]) AS key, station_id FROM st)")
