@@ -566,7 +566,7 @@ def solve_sections(spark, d):
     hints = asked.select("section_id", none.alias("explicit_lines"), none.alias("explicit_operators"), same("line").alias("common_lines"), same("operator").alias("common_operators"))
     steps = solve.attempt_ladder(hints).join(asked, "section_id")
     end = lambda c: F.array(F.struct(F.col(c).alias("node"), F.lit(0.0).alias("snap_m")))
-    rows = steps.select("section_id", F.col("attempt").cast("int").alias("attempt"), "req_lines", "req_operators", F.when(F.col("mode") == "unbiased", none).otherwise(same("line")).alias("pref_lines"), none.alias("pref_operators"), F.array(*map(F.lit, "12345")).alias("allowed"), F.col("home").alias("hard"), end("from_station_id").alias("sources"), end("to_station_id").alias("targets"), "from_lon", "from_lat", "to_lon", "to_lat")
+    rows = steps.select("section_id", F.col("attempt").cast("int").alias("attempt"), "req_lines", "req_operators", F.when(F.col("mode") == solve.UNBIASED, none).otherwise(same("line")).alias("pref_lines"), none.alias("pref_operators"), F.array(*map(F.lit, "12345")).alias("allowed"), F.col("home").alias("hard"), end("from_station_id").alias("sources"), end("to_station_id").alias("targets"), "from_lon", "from_lat", "to_lon", "to_lat")
     # Trains that leave one station share its searches.
     found = regions.solve_sections(rows, edges, stored, rows_a_task=8000, by="sources", rejected=True)
     told = found.join(asked.select("section_id", "from_station_id", "to_station_id"), "section_id").select("from_station_id", "to_station_id", "attempt", F.round("metres", 2).alias("metres"), F.size("path").alias("nodes"), F.when(F.col("path").isNull(), "detour").otherwise("solved").alias("outcome"))

@@ -122,7 +122,7 @@ def test_attempts(spark):
     got = {}
     for r in solve.attempt_ladder(h).orderBy("section_id", "attempt").collect():
         got.setdefault(r["section_id"], []).append(r["mode"])
-    assert got == {1: ["explicit_home", "explicit_soft"], 2: ["operator_home", "operator_soft"], 3: ["base_home", "soft_fallback", "unbiased"]}
+    assert got == {1: [solve.EXPLICIT_HOME, solve.EXPLICIT_SOFT], 2: [solve.OPERATOR_HOME, solve.OPERATOR_SOFT], 3: [solve.HOME, solve.SOFT_WITHOUT_COMMON, solve.UNBIASED]}
 
 
 def test_resolution_and_expansion(spark):
