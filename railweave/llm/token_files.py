@@ -23,6 +23,8 @@ from .token_ids import encoder
 BLOCK_IDS = 1 << 16
 #: Ids packed or unpacked at a time, a multiple of eight, so that each step ends on a byte.
 STEP_IDS = 1 << 16
+#: Rows whose ids are held at one time in a task.
+ROWS_AT_ONCE = 2_500
 #: Bytes of text in a part, about.
 PART_BYTES = 256 << 20
 
@@ -101,12 +103,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part, doc_ids = batch.column("part")[0].as_py(), batch.column("id").to_pylist()
-            coded = encode(batch.column("text").to_pylist())
-            ids, ends = np.insert(coded.ids, coded.ends, end_id), coded.ends + np.arange(1, len(doc_ids) + 1)
-            for row in blocks_of(part, first, doc_ids, ids, ends, bits):
-                yield pa.RecordBatch.from_pylist([row], schema)
-            first += len(ids)
+            part = batch.column("part")[0].as_py()
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(at, ROWS_AT_ONCE)
+                coded, doc_ids = encode(some.column("text")), some.column("id").to_pylist()
+                ids, ends = np.insert(coded.ids, coded.ends, end_id), coded.ends + np.arange(1, len(doc_ids) + 1)
+                for row in blocks_of(part, first, doc_ids, ids, ends, bits):
+                    yield pa.RecordBatch.from_pylist([row], schema)
+                first += len(ids)
 
     dealt.mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
     # One row for each part: the only thing that is summed in order.

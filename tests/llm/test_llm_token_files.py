@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import ODD, plain, real, table
 from hypothesis import given, settings, strategies as st
@@ -41,7 +42,7 @@ def test_long_lists_are_packed_in_steps(monkeypatch):
 @given(st.lists(st.text(max_size=60), max_size=6))
 def test_any_texts(texts):
     encode, _ = token_ids.encoder(PATH)
-    got = encode(texts)
+    got = encode(pa.array(texts, pa.string()))
     assert [got.ids[e - n : e].tolist() for e, n in zip(got.ends, got.sizes)] == wanted(texts)
 
 
@@ -50,7 +51,7 @@ def test_words_marks_feeds_and_special_strings():
     bits = ["the", "Été", "x1", ".", ",", " ", " ", "\n", "\t", "<|endoftext|>", "漢字", "'s", "don't", "a\x1cb", "\x85", "?!", "  ", "ß"]
     texts = ["".join(random.choices(bits, k=random.randrange(12))) for _ in range(3000)] + [t or "" for t in ODD] + ["a" * 70_000, "word " * 40_000]
     encode, _ = token_ids.encoder(PATH)
-    got = encode(texts)
+    got = encode(pa.array(texts, pa.string()))
     for text, e, n, ids in zip(texts, got.ends, got.sizes, wanted(texts)):
         assert got.ids[e - n : e].tolist() == ids, text[:80]
 
@@ -59,7 +60,7 @@ def test_words_marks_feeds_and_special_strings():
 def test_other_tokenizers(name):
     library = Tokenizer.from_file(public_tokenizers.path(name))
     encode, _ = token_ids.encoder(public_tokenizers.path(name))
-    got = encode(["Hello world", "", "a  b\n c<|endoftext|>"])
+    got = encode(pa.array(["Hello world", "", "a  b\n c<|endoftext|>"]))
     assert got.ids.tolist() == [i for t in ["Hello world", "", "a  b\n c<|endoftext|>"] for i in library.encode(t, add_special_tokens=False).ids]
 
 
@@ -99,3 +100,15 @@ def test_blocks_are_of_whole_documents(monkeypatch):
     rows = list(token_files.blocks_of(2, 100, list("abcde"), np.arange(41, dtype=np.uint32), ends, 9))
     assert [(r["doc_ids"], r["first"], r["n_ids"], r["ends"]) for r in rows] == [(["a", "b"], 100, 8, [4, 8]), (["c"], 108, 22, [22]), (["d"], 130, 1, [1]), (["e"], 131, 10, [10])]
     assert [i for r in rows for i in token_files.unpack(r["packed"], 9, 0, r["n_ids"])] == list(range(41))
+
+
+def test_what_is_known_is_bounded(monkeypatch):
+    asked = []
+    known = token_ids.Known(lambda pieces: asked.extend(pieces.to_pylist()) or token_ids.Ragged([[len(x)] * len(x) for x in pieces.to_pylist()]))
+    told = lambda some: [x.tolist() for x in np.split(got.ids, got.ends[:-1])] if (got := known.of(pa.array(some, pa.string()))) else None
+    assert told(["a", "bb"]) == [[1], [2, 2]] and told(["ccc", "a"]) == [[3, 3, 3], [1]] and asked == ["a", "bb", "ccc"]
+    monkeypatch.setattr(token_ids, "KNOWN_PIECES", 4)
+    assert told(["d", "a", "eeee"]) == [[1], [1], [4, 4, 4, 4]] and known.pieces.to_pylist() == ["d", "a", "eeee"]
+    monkeypatch.setattr(token_ids, "KNOWN_BYTES", 30)
+    assert told(["x" * 40, "a"]) == [[40] * 40, [1]] and known.pieces.to_pylist() == []
+    assert told(["a"]) == [[1]]
