@@ -24,7 +24,7 @@ from ..checkpoints import written
 from .arrow_text import held, text_udf
 
 #: Documents of a shard, about.
-SHARD_DOCS = 16_384
+SHARD_DOCS = 4_096
 #: Postings of a block.
 BLOCK_POSTINGS = 256
 #: Distinct query terms of one pass over the documents.
