@@ -22,9 +22,6 @@ LEXICON_TERMS = 3_000
 LEAST_ODDS = 2.5
 #: Folds of crc32(id) mod 5: 0 is held out, of the others each is described by a lexicon of the rest, and each half calibrates trees of the other.
 HELD_OUT, FOLDS, HALVES = 0, (1, 2, 3, 4), ((1, 2), (3, 4))
-#: Common insults in English, French, German and Spanish, in the lexicon from the start with this weight.
-INSULTS = "idiot idiots moron morons stupid scum loser losers trash pathetic worthless disgusting clown clowns dumb dumbass fool filth garbage retard bastard bitch asshole crap jerk imbecile idiote connard salope débile ordure dégoûtant abruti crétin idiotin dummkopf arschloch abschaum dreckig versager widerlich imbécil estúpido estúpida basura escoria asqueroso inútil".split()
-INSULT_WEIGHT = 5.0
 
 WORD_BYTES = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Pronouns of the second person in English, French, German and Spanish.
@@ -112,8 +109,8 @@ def _term_counts(texts: DataFrame) -> DataFrame:
 
 
 def _lexicon(counts: DataFrame, folds: tuple[int, ...]) -> dict[bytes, float]:
-    """INSULTS, and log odds of the terms that tell most, from the documents of the given folds."""
-    lexicon = dict.fromkeys((w.encode() for w in INSULTS), INSULT_WEIGHT)
+    """Log odds of the terms that tell most, from the documents of the given folds."""
+    lexicon: dict[bytes, float] = {}
     over = lambda c: sum((F.col(f"{c}{f}") for f in folds[1:]), F.col(f"{c}{folds[0]}"))
     summed = counts.select("term", over("toxic").alias("toxic"), over("clean").alias("clean"))
     docs = summed.where(F.length("term") == 0).first()
