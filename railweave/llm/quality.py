@@ -5,6 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .arrow_text import text_udf
@@ -212,8 +213,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     """Line model from document labels: the labels of lines are latent, see `fit_latent`.
 
     Reads at most `sample` labelled documents (least hash of the id) whose crc32(id as text)
-    mod 5 is not HELD_OUT, and SAMPLE_SEQUENCES of their line sequences (least hash of id
-    and place); those bounds are for learning alone. Without both labels every line is content.
+    mod 5 is not HELD_OUT, and of these whole documents, in that order, until they have
+    SAMPLE_SEQUENCES line sequences; those bounds are for learning alone. Without both labels every line is content.
     """
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_chosen")).agg(F.min(label_col).cast("int").alias("_label"))
     chosen = chosen.where(F.crc32(F.col("_chosen").cast("string").cast("binary")) % 5 != HELD_OUT).orderBy(F.xxhash64("_chosen"), "_chosen").limit(sample)
@@ -229,7 +230,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
                 yield pa.record_batch({"id": pa.array([doc] * len(cuts), pa.string()), "part": pa.array(range(len(cuts)), pa.int32()), "label": pa.array([label] * len(cuts), pa.int32()), **made})
 
     made = texts.mapInArrow(sequences, "id string, part int, label int, rows array<double>, sizes array<bigint>")
-    got = made.orderBy(F.xxhash64("id", "part"), "id", "part", "rows").limit(SAMPLE_SEQUENCES).toArrow().sort_by([("id", "ascending"), ("part", "ascending")])
+    got = made.orderBy(F.xxhash64("id"), "id", "part", "rows").limit(SAMPLE_SEQUENCES).toArrow()
+    if got.num_rows == SAMPLE_SEQUENCES and got["id"][0] != got["id"][-1]:
+        got = got.filter(pc.not_equal(got["id"], got["id"][-1]))  # the last document may be cut
+    got = got.sort_by([("id", "ascending"), ("part", "ascending")])
     documents: dict[tuple[str, int], tuple[list, list]] = {}
     for doc, label, rows, sizes in zip(*(got[c].to_pylist() for c in ("id", "label", "rows", "sizes"))):
         parts, counts = documents.setdefault((doc, label), ([], []))
