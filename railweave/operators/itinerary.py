@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dates import UNDATED
 from ..functions.text import blank_to_null, first_truthy
+from .ranks import ranked
 
 PASSING = "pass_through"
 
@@ -96,14 +97,10 @@ def order_trains(trains: DataFrame, into: str = "place") -> DataFrame:
     """`trains` with their place within their date: by departure (none last), then id in binary order.
 
     Dates sort by themselves with `undated` last; the order over all dates is (date, place).
+    A date, as `undated`, may hold any share of the trains.
     """
-    w = Window.partitionBy("date").orderBy(F.col("departure").asc_nulls_last(), F.col("train_id").asc())
-    return trains.withColumn(into, F.row_number().over(w))
-
-
-def sorted_trains(trains: DataFrame) -> DataFrame:
-    """`trains` in list order, sorted over the whole cluster."""
-    return trains.orderBy(*_date_order(F.col("date")), F.col("departure").asc_nulls_last(), F.col("train_id").asc())
+    late = trains.withColumn("_late", F.col("departure").isNull())
+    return ranked(late, ["date"], ["_late", "departure", "train_id"], into).drop("_late")
 
 
 def endpoints(trips: DataFrame, *scope: str) -> DataFrame:
@@ -143,11 +140,6 @@ def reconciled_date(buckets: DataFrame, selected: str) -> DataFrame:
     return dates.agg(F.coalesce(kept, F.min(F.when(F.col("date") != UNDATED, F.col("date"))), F.lit(UNDATED)).alias("date"))
 
 
-def canonical_times(stops: DataFrame) -> DataFrame:
-    """`stops` with blank arrival and departure texts turned to null."""
-    return stops.withColumns({c: blank_to_null(F.col(c)) for c in ("arrival", "departure") if c in stops.columns})
-
-
 def segment_label(section_number: Column, section_name: Column, number: Column, name: Column) -> Column:
     """What a segment is called: the section's name, else the train's, else its number; then the section's number, or the train's where that differs from its name."""
     short = F.coalesce(first_truthy(section_number), F.when(~number.eqNullSafe(name), first_truthy(number)))

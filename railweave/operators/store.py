@@ -5,6 +5,9 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..checkpoints import stored
+from .ranks import ranked
+
 
 def upsert(changes: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     """The last row by `seq` of each key, with `position`: the place (least seq) where the key came first.
@@ -26,49 +29,84 @@ def upsert_counters(existing: DataFrame, incoming: DataFrame, key: str = "id") -
     return told.crossJoin(old.agg(F.count("*").alias("_had"))).select("trains_total", "added", (F.col("trains_total") - F.col("added")).alias("replaced"), (F.col("_had") + F.col("_new")).alias("trains_after"))
 
 
-def free_id(base: str, taken: set[str], following: dict[str, int] | None = None) -> str:
-    """base, or base-2, base-3 ... whichever is not taken first; `following` remembers where to go on for each base."""
-    if base not in taken:
-        return base
-    k = (following or {}).get(base, 2)
-    while f"{base}-{k}" in taken:
-        k += 1
-    if following is not None:
-        following[base] = k + 1
-    return f"{base}-{k}"
-
-
-_FOLDED = pa.schema([("ord", pa.int64()), ("id", pa.string()), ("unique_id", pa.string())])
-
+_SKIPS = pa.schema([("base", pa.string()), ("id", pa.string()), ("skipped", pa.bool_()), ("at", pa.int64())])
+#: A numbered id: its base, and a number of 2 or more without leading zeros.
+_NUMBERED = r"^(.*)-([2-9]|[1-9][0-9]{1,17})$"
 
-def _folded(rows: pa.Table) -> pa.Table:
-    taken, following, out = set(), {}, []
-    for name, new, ord_ in zip(*(rows.sort_by([("new", "ascending"), ("ord", "ascending")])[c].to_pylist() for c in ("id", "new", "ord"))):
-        free = free_id(name, taken, following) if new else name
-        taken.add(free)
-        if new:
-            out.append((ord_, name, free))
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else ((), (), ()), _FOLDED)], schema=_FOLDED)
 
+def _skips(rows: pa.Table) -> pa.Table:
+    """Which numbered ids of a base its renamed rows step over, and with which of these rows; the others they take, or leave.
 
-def unique_ids(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(ord, id, unique_id): incoming ids (id, ord) made unique against existing ones (id) and each other, in order.
-
-    Ids of one stem (the id without last -numbers) can collide, others never do. Where a
-    stem has one id alone, its rows are numbered by a window. Where it has several, as `a`
-    and `a-2`, the next free suffix depends on those given before: such a stem is folded in
-    order by one task, in linear time, and must fit in it.
+    rows: (base, id, k, old, before), `before`: how many of the base's renamed rows come before the id's own first row.
+    """
+    out, stepped = [], 0
+    for base, name, k, old, before in zip(*(rows.sort_by("k")[c].to_pylist() for c in ("base", "id", "k", "old", "before"))):
+        at = k - 1 - stepped  # the renamed row that would take it
+        skipped = old or before < at
+        stepped += skipped
+        out.append((base, name, skipped, at))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else ((), (), (), ()), _SKIPS)], schema=_SKIPS)
+
+
+def _counted_below(points: DataFrame, marks: DataFrame, key: str, at: str, into: str, store: Callable[[DataFrame], DataFrame], own: str | None = None) -> DataFrame:
+    """`points` with `into`: how many `marks` (key, at) of their key lie at or below their `at`; `own`: a column with the points' places, where they are known. No pair of a point and a mark is made."""
+    own = points.withColumn("_own", F.col(own)) if own else ranked(points, [key], [at], "_own", store)
+    both = own.withColumn("_mark", F.lit(1)).unionByName(marks.select(key, at).withColumn("_mark", F.lit(0)), allowMissingColumns=True)
+    all_ = ranked(both, [key], [at, "_mark", "_own"], "_all", store)
+    return all_.where("_mark = 1").withColumn(into, F.col("_all") - F.col("_own")).drop("_mark", "_own", "_all")
+
+
+def unique_ids(existing: DataFrame, incoming: DataFrame, store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """(ord, id, unique_id): incoming ids (id, ord) made unique against existing ones (id) and each other, in order of `ord`.
+
+    An id that is free is kept, another becomes id-2, id-3 ... by the first that is free. As
+    `a-2` can come in by itself and also be what a row `a` becomes, what happens to `a-2`
+    depends on `a`, never the other way: so ids are settled by how many numbers they end in.
+    At each level the rows of an id are ranked, the numbered ids that are in the way are
+    placed among them by rank, and one pass over the distinct numbered ids of each base
+    tells which of these its rows step over; only that pass has a base in one task, with a
+    few numbers for each distinct id. Rows are never gathered by id. Null ids stay null.
     """
-    stem = F.regexp_replace("id", r"(-[0-9]+)+$", "").alias("stem")
-    old, new = existing.select("id", stem).distinct(), incoming.select("id", F.col("ord").cast("bigint").alias("ord"), stem)
-    kinds = old.select("stem", "id").unionByName(new.select("stem", "id")).distinct().groupBy("stem").agg(F.count("*").alias("_ids"))
-    mixed = kinds.where("_ids > 1").select("stem")
-    w = Window.partitionBy("id").orderBy("ord")
-    plain = new.join(mixed, "stem", "left_anti").withColumn("_k", F.row_number().over(w)).join(old.select("id", F.lit(1).alias("_old")), "id", "left")
-    place = F.col("_k") + F.coalesce("_old", F.lit(0))
-    numbered = plain.select("ord", "id", F.when(place == 1, F.col("id")).otherwise(F.concat("id", F.lit("-"), place.cast("string"))).alias("unique_id"))
-    rows = old.select("id", F.lit(-1).cast("bigint").alias("ord"), F.lit(False).alias("new"), "stem").unionByName(new.select("id", "ord", F.lit(True).alias("new"), "stem")).join(mixed, "stem", "left_semi")
-    return numbered.unionByName(rows.groupBy("stem").applyInArrow(_folded, "ord bigint, id string, unique_id string"))
+    rows = incoming.select("id", F.col("ord").cast("bigint").alias("ord"))
+    new = store(ranked(rows.where("id IS NOT NULL"), ["id"], ["ord"], "nth", store))
+    asked = new.groupBy("id").agg(F.min("ord").alias("first"), F.count("*").alias("rows"))
+    old = existing.select("id").where("id IS NOT NULL").distinct().withColumn("old", F.lit(True))
+    base, number = F.regexp_extract("id", _NUMBERED, 1), F.regexp_extract("id", _NUMBERED, 2)
+    depth = F.size(F.split(F.regexp_extract("id", r"((-([2-9]|[1-9][0-9]{1,17}))*)$", 1), "-")) - 1
+    names = asked.join(old, "id", "full").withColumns({"old": F.coalesce("old", F.lit(False)), "base": F.when(number != "", base), "k": F.when(number != "", number.cast("bigint")), "depth": F.when(F.col("rows").isNotNull(), depth)})
+    names = store(names)
+    # Ids whose rows are renamed at all, if only because their base takes the id first, and the numbered ids in their way.
+    bases = names.where("rows IS NOT NULL").select(F.col("id").alias("base"), F.col("depth").alias("level"))
+    specials = store(names.where("base IS NOT NULL").select("base", "id", "k", "old", "first").join(bases, "base"))
+    crowded = {r["level"] for r in specials.select("level").distinct().collect()}
+    taken = store(names.where("old").select("id"))
+    done, last = None, names.agg(F.max("depth")).first()[0]
+    for level in range(0 if last is None else last + 1):
+        here = names.where(F.col("depth") == level).select("id", "first", "rows").join(taken.withColumn("_t", F.lit(1)), "id", "left")
+        here = store(here.select("id", (F.col("_t").isNull()).cast("bigint").alias("kept")))
+        mine = new.join(here, "id").withColumn("j", F.col("nth") - F.col("kept"))
+        renamed = mine.where("j > 0").select("id", "ord", "j")
+        shifted = renamed.withColumn("over", F.lit(0).cast("bigint"))
+        skips = None
+        if level in crowded:
+            near = specials.join(here.select(F.col("id").alias("base")), "base")
+            # How many renamed rows of the base come before an id's own first row; for ids that only exist it does not matter.
+            placed = _counted_below(near.withColumn("ord", F.col("first")), renamed.select(F.col("id").alias("base"), "ord"), "base", "ord", "before", store)
+            skips = store(placed.select("base", "id", "k", "old", F.coalesce("before", F.lit(0)).alias("before")).groupBy("base").applyInArrow(_skips, "base string, id string, skipped boolean, at bigint"))
+            met = skips.where("skipped").select(F.col("base").alias("id"), F.col("at").alias("j"))
+            in_way = met.select("id").distinct()
+            moved_on = _counted_below(renamed.join(in_way, "id", "left_semi"), met, "id", "j", "over", store, own="j")
+            shifted = moved_on.unionByName(shifted.join(in_way, "id", "left_anti"))
+        named = shifted.select("ord", "id", F.concat("id", F.lit("-"), (F.col("j") + 1 + F.col("over")).cast("string")).alias("unique_id"))
+        part = named.unionByName(mine.where("j = 0").select("ord", "id", F.col("id").alias("unique_id")))
+        done = part if done is None else done.unionByName(part)
+        if skips is None:
+            continue
+        # Numbered ids that their base took before they came in by themselves.
+        more = skips.where("NOT skipped").join(here.select(F.col("id").alias("base"), "kept"), "base").join(asked.select(F.col("id").alias("base"), "rows"), "base").where("at <= rows - kept").select("id")
+        taken = store(taken.unionByName(more).distinct())
+    nulls = rows.where("id IS NULL").select("ord", "id", F.col("id").alias("unique_id"))
+    return nulls if done is None else done.unionByName(nulls)
 
 
 def append(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -122,9 +160,3 @@ def stops_edited(stops: DataFrame, edits: DataFrame) -> DataFrame:
     now = F.when(idx == at, F.coalesce(other, idx)).when(idx == other, at).when((action == "delete") & (at >= 0) & (idx > at), idx - 1).otherwise(idx)
     kept = told.where(~F.coalesce((action == "delete") & (idx == at), F.lit(False)))
     return kept.withColumn("idx", now).drop("_e", "_last")
-
-
-def solved_with_cache(sections: DataFrame, cache: DataFrame, solve: Callable[[DataFrame], DataFrame], key: str = "route_key") -> DataFrame:
-    """Cached routes of the sections and, for keys the cache lacks, solved ones, each key solved once."""
-    asked = sections.dropDuplicates([key])
-    return cache.join(asked.select(key), key, "left_semi").unionByName(solve(asked.join(cache.select(key), key, "left_anti")), allowMissingColumns=True)

@@ -528,17 +528,36 @@ def nfkc_names(spark, d):
     return text.normalized_names(stations(spark, d).select("station_id", "name"), "name", "normalized")
 
 
-@query()
+@query(""", ev AS (SELECT 'odr_' || CAST(user_id % 20 AS VARCHAR) AS base, event_id % 4 = 0 AS numbered, event_id AS ord FROM events),
+ex AS (SELECT DISTINCT base, numbered FROM ev WHERE ord < 5),
+rq AS (SELECT *, row_number() OVER (PARTITION BY base, numbered ORDER BY ord) AS nth FROM ev WHERE ord >= 5),
+kp AS (SELECT base, CASE WHEN base IN (SELECT base FROM ex WHERE NOT numbered) THEN 0 ELSE 1 END AS kept FROM (SELECT DISTINCT base FROM rq)),
+fr AS (SELECT kp.base, kept, (SELECT min(ord) FROM rq WHERE rq.base = kp.base AND NOT numbered AND nth = kept + 1) AS renamed, (SELECT min(ord) FROM rq WHERE rq.base = kp.base AND numbered) AS own, kp.base IN (SELECT base FROM ex WHERE numbered) AS old FROM kp),
+sk AS (SELECT *, old OR (own IS NOT NULL AND coalesce(own < renamed, true)) AS skipped FROM fr)
+SELECT ord, rq.base || CASE WHEN numbered THEN '-2' ELSE '' END AS id,
+  CASE WHEN NOT numbered THEN rq.base || CASE WHEN nth = kept THEN '' ELSE '-' || CAST(nth - kept + 1 + CASE WHEN skipped THEN 1 ELSE 0 END AS VARCHAR) END
+    WHEN nth = 1 AND NOT old AND (skipped OR renamed IS NULL) THEN rq.base || '-2' ELSE rq.base || '-2-' || CAST(nth + CASE WHEN NOT old AND (skipped OR renamed IS NULL) THEN 0 ELSE 1 END AS VARCHAR) END AS unique_id
+FROM rq JOIN sk ON rq.base = sk.base""")
 def unique_ids(spark, d):
     t = table(spark, d, "events").select(F.concat(F.lit("odr_"), (F.col("user_id") % 20).cast("string"), F.when(F.col("event_id") % 4 == 0, "-2").otherwise("")).alias("id"), F.col("event_id").alias("ord"))
     return store.unique_ids(t.where("ord < 5").select("id"), t.where("ord >= 5"))
 
 
-@query()
+@query(""", h(station_id, e_line, e_op, shared) AS (SELECT station_id, station_id % 3 = 0, station_id % 2 = 0, station_id % 5 <> 0 FROM st),
+a(kind, place, line, op, home, mode, common) AS (VALUES """ + ", ".join(f"({k}, {at}, {line}, {op}, {home}, '{mode}', {common})" for k, at, line, op, home, mode, common in [
+    (0, 0, "true", "true", "true", solve.EXPLICIT_HOME, 0), (0, 1, "true", "true", "false", solve.EXPLICIT_SOFT, 0),
+    (1, 0, "true", "true", "true", solve.PINNED_HOME, 1), (1, 1, "true", "true", "false", solve.PINNED_SOFT, 1), (1, 2, "false", "true", "true", solve.OPERATOR_HOME, 0), (1, 3, "false", "true", "false", solve.OPERATOR_SOFT, 0),
+    (2, 0, "true", "true", "true", solve.COMMON_BOTH_HOME, 1), (2, 1, "true", "false", "true", solve.COMMON_LINE_HOME, 1), (2, 2, "false", "true", "true", solve.COMMON_OPERATOR_HOME, 1), (2, 3, "false", "false", "true", solve.HOME, 0),
+    (2, 4, "true", "false", "false", solve.COMMON_LINE_SOFT, 1), (2, 5, "false", "false", "false", solve.SOFT, 1), (2, 6, "false", "false", "false", solve.SOFT_WITHOUT_COMMON, -1), (2, 7, "false", "false", "true", solve.UNBIASED, 0),
+]) + """)
+SELECT h.station_id AS section_id, CASE WHEN a.line THEN st.line ELSE '' END AS req_lines, CASE WHEN a.op AND (kind > 0 OR e_op) THEN st.operator ELSE '' END AS req_operators, home, CAST(place AS INTEGER) AS attempt, mode
+FROM h JOIN st ON h.station_id = st.station_id JOIN a ON kind = CASE WHEN e_line THEN 0 WHEN e_op THEN 1 ELSE 2 END AND (common = 0 OR (common = 1) = shared)""")
 def attempt_ladder(spark, d):
-    none = F.array().cast("array<string>")
-    hints = stations(spark, d).select(F.col("station_id").alias("section_id"), F.when(F.col("station_id") % 3 == 0, F.array("line")).otherwise(none).alias("explicit_lines"), F.when(F.col("station_id") % 2 == 0, F.array("operator")).otherwise(none).alias("explicit_operators"), F.array("line").alias("common_lines"), F.array("operator").alias("common_operators"))
-    return solve.attempt_ladder(hints)
+    """Stations as sections: with lines of their own, operators alone or neither, and with or without what both ends share."""
+    none, some = F.array().cast("array<string>"), lambda when, c: F.when(when, F.array(c)).otherwise(F.array().cast("array<string>"))
+    k = F.col("station_id")
+    hints = stations(spark, d).select(k.alias("section_id"), some(k % 3 == 0, "line").alias("explicit_lines"), some(k % 2 == 0, "operator").alias("explicit_operators"), some(k % 5 != 0, "line").alias("common_lines"), some(k % 5 != 0, "operator").alias("common_operators"))
+    return solve.attempt_ladder(hints).select("section_id", F.array_join("req_lines", ",").alias("req_lines"), F.array_join("req_operators", ",").alias("req_operators"), "home", "attempt", "mode")
 
 
 @query()
