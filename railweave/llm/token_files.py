@@ -24,7 +24,7 @@ BLOCK_IDS = 1 << 16
 #: Ids packed or unpacked at a time, a multiple of eight, so that each step ends on a byte.
 STEP_IDS = 1 << 16
 #: Rows whose ids are held at one time in a task.
-ROWS_AT_ONCE = 2_500
+ROWS_AT_ONCE = 1_200
 #: Bytes of text in a part, about.
 PART_BYTES = 256 << 20
 

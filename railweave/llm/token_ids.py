@@ -13,11 +13,11 @@ import pyarrow.compute as pc
 from .token_counts import balanced
 
 #: Texts of a batch, in bytes about: the more, the fewer words are encoded twice.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: White space next to white space, as Unicode and the C0 separators have it; there the look-ahead for a last space matters.
 CLOSE_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 #: Pieces remembered in a worker, and bytes of them.
-KNOWN_PIECES, KNOWN_BYTES = 1_000_000, 32 << 20
+KNOWN_PIECES, KNOWN_BYTES = 500_000, 32 << 20
 #: Pieces in one text given to the library.
 PIECES_A_TEXT = 4096
 #: A line feed or nothing, letters of ASCII and Latin-1, a mark or nothing: letters with or without a space before
