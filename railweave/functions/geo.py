@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 
 #: The Earth's radius and metres to a degree of longitude (at the equator) and latitude.
 EARTH_M, LON_M, LAT_M = 6371000.0, 111320.0, 110540.0
+#: Fixed value: points no farther apart count as one.
+NEAR_M = 1.5
 POINTS = "array<struct<lon:double,lat:double>>"
 
 
@@ -39,9 +41,9 @@ def path_length_m(points: Column) -> Column:
 
 
 def pad_bbox(west: Column, south: Column, east: Column, north: Column, metres: Column) -> Column:
-    """The box grown on all sides; at high latitudes the longitude scale stops at 0.2."""
+    """The box grown on all sides, by LON_M to a degree both ways; at high latitudes the longitude scale stops at 0.2."""
     scale = F.greatest(F.cos(F.radians((south + north) / 2)), F.lit(0.2))
-    x, y = metres / (LON_M * scale), metres / LAT_M
+    x, y = metres / (LON_M * scale), metres / LON_M
     return F.struct((west - x).alias("west"), (south - y).alias("south"), (east + x).alias("east"), (north + y).alias("north"))
 
 
@@ -51,6 +53,21 @@ def quantize_bbox(west: Column, south: Column, east: Column, north: Column, step
     return F.struct(down(west).alias("west"), down(south).alias("south"), up(east).alias("east"), up(north).alias("north"))
 
 
+def diagonal_m(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """From the south-west corner of a box to the north-east one."""
+    return haversine_m(west, south, east, north)
+
+
+def same_point(a: Column, b: Column) -> Column:
+    """Whether two points are the same, number by number."""
+    return (a["lon"] == b["lon"]) & (a["lat"] == b["lat"])
+
+
+def near_point(a: Column, b: Column, metres: float = NEAR_M) -> Column:
+    """Whether two points are so near that they count as one."""
+    return haversine_m(a["lon"], a["lat"], b["lon"], b["lat"]) <= metres
+
+
 def bbox_intersects(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Whether two closed boxes (west, south, east, north) touch."""
     return (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])

@@ -151,3 +151,14 @@ def split_markers(markers: DataFrame, hidden: list[str], selected: Column) -> Da
     """Markers of the categories that are not hidden, with `layer`: those of the selected train lie on top of the base."""
     shown = markers.where(~F.coalesce(F.col("category").isin(*hidden), F.lit(False))) if hidden else markers
     return shown.withColumn("layer", F.when(F.coalesce(selected, F.lit(False)), "selected").otherwise("base"))
+
+
+def fit_bounds(routes: DataFrame, stops: DataFrame) -> DataFrame:
+    """(train_id, source, west, south, east, north): the box of a train's routes (train_id, points), or of its stops (train_id, lon, lat) where it has none."""
+    sides = lambda lon, lat: [F.min(lon).alias("west"), F.min(lat).alias("south"), F.max(lon).alias("east"), F.max(lat).alias("north")]
+    points = routes.select("train_id", F.explode("points").alias("p"), F.lit("routes").alias("source")).select("train_id", "source", "p.lon", "p.lat")
+    both = points.unionByName(stops.select("train_id", F.lit("stops").alias("source"), "lon", "lat")).where("lon IS NOT NULL AND lat IS NOT NULL")
+    boxes = both.groupBy("train_id", "source").agg(*sides("lon", "lat"))
+    # `routes` sorts before `stops`.
+    best = boxes.groupBy("train_id").agg(F.min(F.struct("source", "west", "south", "east", "north")).alias("b"))
+    return best.select("train_id", "b.*")

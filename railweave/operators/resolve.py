@@ -168,3 +168,10 @@ def stop_features(stops: DataFrame, matched: DataFrame, resolved: DataFrame) ->
     own = lambda c: F.coalesce(F.when(F.col(c) != "", F.col(c)), at[c]).alias(c)
     source = F.when(F.col("_m").isNotNull(), "matched").when(F.col("_r").isNotNull(), "resolved")
     return told.select("train_id", "idx", "name", own("code"), own("group_code"), *(at[c].alias(c) for c in ("line", "operator", "lon", "lat")), source.alias("source"))
+
+
+def filled(stops: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Stops (train_id, idx, name, code) with name, code and group_code of their station; those that are not among `resolved` (train_id, idx, name, code, group_code) keep their own, without a group."""
+    told = resolved.select("train_id", "idx", F.struct("name", "code", "group_code").alias("_s"))
+    has = F.col("_s").isNotNull()
+    return stops.join(told, ["train_id", "idx"], "left").select("train_id", "idx", *(F.when(has, F.col(f"_s.{c}")).otherwise(F.col(c)).alias(c) for c in ("name", "code")), F.col("_s.group_code").alias("group_code"))

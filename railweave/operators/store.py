@@ -124,6 +124,30 @@ def edited(trains: DataFrame, patch: DataFrame, key: str = "id") -> DataFrame:
     return told.select(*(F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c != key and c in patch.columns else F.col(c) for c in trains.columns))
 
 
+def replaced(trains: DataFrame, full: DataFrame, key: str = "id") -> DataFrame:
+    """`trains` with each row of a key that `full` (one row a key, the same columns) has replaced as a whole, at its old `ord`; other rows of `full` are left out."""
+    told = full.select(F.col(key).alias("_k"), F.struct(*(c for c in full.columns if c != "ord")).alias("_full"))
+    found = trains.join(told, F.col(key) == F.col("_k"), "left")
+    return found.select(*(F.when(F.col("_k").isNotNull(), F.col(f"_full.{c}")).otherwise(F.col(c)).alias(c) if c != "ord" else F.col(c) for c in trains.columns))
+
+
+def duplicated(trains: DataFrame, keys: DataFrame) -> DataFrame:
+    """`trains` with copies of those of `keys` (id) at the end, in their order: ids end in -copy, made unique, names in Copy."""
+    name = F.when(F.coalesce("name", F.lit("")) == "", "Train").otherwise(F.col("name"))
+    copies = trains.join(keys.select("id").distinct(), "id", "left_semi").withColumns({"id": F.concat("id", F.lit("-copy")), "name": F.concat(name, F.lit(" Copy"))})
+    return append(trains, copies.select(*trains.columns))
+
+
+def emptied(trains: DataFrame) -> DataFrame:
+    """A store without trains."""
+    return trains.limit(0)
+
+
+def placed(trains: DataFrame, into: str = "place") -> DataFrame:
+    """`trains` with their place, from 1, by `ord` over the whole store."""
+    return ranked(trains.withColumn("_all", F.lit(0)), ["_all"], ["ord"], into).drop("_all")
+
+
 def removed(trains: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     return trains.join(keys.select(key), key, "left_anti")
 

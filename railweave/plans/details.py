@@ -104,7 +104,7 @@ def offset_starts(spark, d):
 
 
 @query(""" , p AS (SELECT src, least(a_lat, b_lat) AS s, greatest(a_lat, b_lat) AS n, least(a_lon, b_lon) AS w, greatest(a_lon, b_lon) AS e FROM hop)
-SELECT src AS section_id, round(w - 3000 / (111320.0::DOUBLE * greatest(cos(radians((s + n) / 2)), 0.2)), 7) AS west, round(n + 3000 / 110540.0::DOUBLE, 7) AS north FROM p""")
+SELECT src AS section_id, round(w - 3000 / (111320.0::DOUBLE * greatest(cos(radians((s + n) / 2)), 0.2)), 7) AS west, round(n + 3000 / 111320.0::DOUBLE, 7) AS north FROM p""")
 def padded_boxes(spark, d):
     p = F.col("points")
     low, high = (lambda c: F.least(p[0][c], p[1][c])), (lambda c: F.greatest(p[0][c], p[1][c]))
@@ -241,15 +241,22 @@ def expanded_endpoints(spark, d):
     return resolve.expand_endpoint(s.select(F.col("station_id").alias("stop_id"), "norm_name", "station_id", "ord"), s, ["1", "2"])
 
 
-@query(""", g AS (SELECT train_id, 'r' || CAST(idx % 2 AS VARCHAR) AS route_id, idx AS segment FROM sp WHERE train_id % 3 = 0), c AS (SELECT train_id, 'r' || CAST(idx % 2 AS VARCHAR) AS route_id, idx AS segment FROM sp WHERE train_id % 3 = 1 AND idx > 0),
-u AS (SELECT *, 0 AS origin FROM g UNION ALL SELECT *, 1 FROM c), f AS (SELECT train_id, arg_min(route_id, segment) AS route_id FROM u GROUP BY train_id)
-SELECT u.* FROM u JOIN f ON u.train_id = f.train_id AND u.route_id = f.route_id WHERE u.segment % 5 <> 4""")
+@query(""", k AS (SELECT train_id, 'k' || CAST(train_id % 50 AS VARCHAR) AS template_key FROM tr),
+r AS (SELECT train_id, 'r' || CAST(idx % 2 AS VARCHAR) AS route_id, idx AS segment FROM sp),
+p AS (SELECT * FROM r WHERE train_id % 3 = 1 AND segment > 0),
+u AS (SELECT r.*, 0 AS origin FROM r JOIN k ON r.train_id = k.train_id WHERE r.train_id % 3 = 0 UNION ALL SELECT p.*, 1 FROM p JOIN k ON p.train_id = k.train_id
+  UNION ALL SELECT a.train_id, route_id, segment, 2 FROM (SELECT k.template_key, p.route_id, p.segment FROM p JOIN k ON p.train_id = k.train_id WHERE p.train_id % 750 = 1) t JOIN k a ON a.template_key = t.template_key),
+f AS (SELECT train_id, min(origin) AS origin FROM u GROUP BY train_id),
+g AS (SELECT u.train_id, arg_min(route_id, segment * 10 + CASE route_id WHEN 'r0' THEN 0 ELSE 1 END) AS route_id, any_value(u.origin) AS origin FROM u JOIN f ON u.train_id = f.train_id AND u.origin = f.origin GROUP BY u.train_id)
+SELECT k.train_id, u.route_id, u.segment, u.origin FROM k LEFT JOIN (SELECT u.* FROM u JOIN g ON u.train_id = g.train_id AND u.origin = g.origin AND u.route_id = g.route_id WHERE u.segment % 5 <> 4) u ON k.train_id = u.train_id""")
 def stored_routes(spark, d):
-    """Trains by number modulo 3 have generated routes, stored ones, or none; each fifth row is several lines not declared one path."""
-    s = stops(spark, d)
-    made = s.select("train_id", F.lit("").alias("template_key"), F.concat(F.lit("r"), (F.col("idx") % 2).cast("string")).alias("route_id"), F.col("idx").alias("segment"), F.when(F.col("idx") % 5 == 4, "MultiLineString").otherwise("LineString").alias("geometry_type"), F.lit(None).cast("string").alias("geometry_role"), F.lit(True).alias("is_primary"))
-    t = trains(spark, d).select("train_id", F.lit("").alias("template_key"))
-    return route.matched_routes(t, made.where("train_id % 3 = 0"), made.where("train_id % 3 = 1 AND segment > 0")).select("train_id", "route_id", "segment", "origin")
+    """Every train: by its number modulo 3 it has generated routes, stored ones, or at best those of its template, which one stored train of 250 has; each fifth row is several lines not declared one path."""
+    key = F.concat(F.lit("k"), (F.col("train_id") % 50).cast("string"))
+    t = trains(spark, d).select("train_id", key.alias("template_key"))
+    made = stops(spark, d).join(t.select("train_id"), "train_id", "left_semi").select("train_id", key.alias("template_key"), F.concat(F.lit("r"), (F.col("idx") % 2).cast("string")).alias("route_id"), F.col("idx").alias("segment"), F.when(F.col("idx") % 5 == 4, "MultiLineString").otherwise("LineString").alias("geometry_type"), F.lit(None).cast("string").alias("geometry_role"), F.lit(True).alias("is_primary"))
+    stored_ = made.where("train_id % 3 = 1 AND segment > 0").withColumn("template_key", F.when(F.col("train_id") % 750 == 1, F.col("template_key")).otherwise(""))
+    found = route.matched_routes(t, made.where("train_id % 3 = 0"), stored_)
+    return t.select("train_id").join(found.select("train_id", "route_id", "segment", "origin"), "train_id", "left")
 
 
 @query(" SELECT train_id, CAST(row_number() OVER (ORDER BY CASE WHEN train_id % 7 = 2 THEN 2 WHEN train_id % 7 <> 0 THEN 1 ELSE 0 END, ord) - 1 AS BIGINT) AS place FROM tr WHERE visible")

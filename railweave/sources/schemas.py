@@ -1,6 +1,7 @@
 """Schemas of the documents that are read and written."""
 
-STOP = "struct<name:string,n02_station_code:string,arrival:string,departure:string,stop_type:string,ride_segment:boolean>"
+#: Field names, versions and institution codes of the format.
+STOP = "struct<name:string,station:string,n02_station_code:string,N02_005c:string,arrival:string,departure:string,stop_type:string,ride_segment:boolean>"
 SECTION = "struct<`from`:string,`to`:string,from_n02_station_code:string,to_n02_station_code:string,line_names:array<string>,operator_names:array<string>,operator_hints:array<string>,number:string,name:string>"
 STYLE = "struct<color:string,weight:double,unridden_opacity:double>"
 POLICY = "struct<mode:string,jr_only:boolean,allow_alternatives:boolean,allow_browser_straight_line_fallback:boolean,allowed_institution_type_codes:array<string>,preferred_line_names:array<string>,preferred_operator_names:array<string>,institution_filter_mode:string>"
