@@ -129,3 +129,58 @@ def test_a_batch_that_runs_again_is_added_once(spark, tmp_path):
     before = versions.head(spark, out)
     ran(spark, tmp_path, "a", changes, out)
     assert versions.head(spark, out) == before and rows(feed.latest(spark, out), "id", "seq", "payload", "position") == wanted(spark, changes)
+
+
+LOG = "type string, id bigint, at timestamp, seq bigint"
+
+
+def heard(spark, folder, log, *more, **options):
+    """Runs a stream over the log, and again after each of `more` is added to it; the numbers and ids of each batch."""
+    from railweave.streaming.log import append, change_log
+
+    batches = []
+    query = change_log(spark, log, LOG, **options).writeStream.foreachBatch(lambda b, n: batches.append(sorted(tuple(r) for r in b.select("seq", "id").collect()))).option("checkpointLocation", str(folder / "checkpoint")).start()
+    try:
+        query.processAllAvailable()
+        for changes in more:
+            append(spark, log, changes)
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    return [b for b in batches if b]
+
+
+def test_the_log_is_read_once_in_parts(spark, tmp_path):
+    """A stream that is stopped and started loses nothing and repeats nothing; a later batch takes no more than it may."""
+    from railweave.streaming import log
+
+    path = str(tmp_path / "log")
+    assert log.last_number(path) == -1
+    assert [log.append(spark, path, [{"type": "store-changed", "id": k, "at": "2026-07-03T10:00:00"} for k in range(n)]) for n in (3, 1)] == [0, 3]
+    first = heard(spark, tmp_path, path, [{"id": k} for k in range(7)], max_changes=3)
+    assert [[seq for seq, _ in b] for b in first] == [[0, 1, 2, 3], [4, 5, 6], [7, 8, 9], [10]]
+    assert log.append(spark, path, [{"id": 70}, {"id": 71}]) == 11
+    assert heard(spark, tmp_path, path) == [[(11, 70), (12, 71)]]
+    assert heard(spark, tmp_path, path) == []
+    with pytest.raises(ValueError):
+        log.append(spark, path, [])
+
+
+def test_writers_of_the_log_get_numbers_of_their_own(spark, tmp_path):
+    from railweave.streaming import log
+
+    path, got, faults = str(tmp_path / "log"), [], []
+
+    def write(k):
+        try:
+            for j in range(4):
+                got.append((log.append(spark, path, [{"id": 100 * k + j}, {"id": 100 * k + j}]), 100 * k + j))
+        except Exception as fault:  # noqa: BLE001
+            faults.append(fault)
+
+    writers = [threading.Thread(target=write, args=(k,)) for k in range(5)]
+    [w.start() for w in writers]
+    [w.join() for w in writers]
+    assert not faults and sorted(first for first, _ in got) == list(range(0, 40, 2))
+    (batch,) = heard(spark, tmp_path, path)
+    assert batch == sorted((first + k, i) for first, i in got for k in (0, 1))
