@@ -54,7 +54,7 @@ def rail_ways(chords: DataFrame, rails: DataFrame, limit_m: float = RAIL_LIMIT_M
     places = rails.select(F.col("src").alias("node"), F.col("src_lon").alias("lon"), F.col("src_lat").alias("lat")).dropDuplicates(["node"])
     at = lambda end, to: places.select(F.col("node").alias(end), F.col("lon").alias(f"{to}_lon"), F.col("lat").alias(f"{to}_lat"))
     asked = _plain(chords.select(F.col("chord_id").alias("section_id"), "src", "dst").join(at("src", "from"), "src").join(at("dst", "to"), "dst"))
-    placed = regions.spread(regions.with_region(asked, limit_m, 0.0))
+    placed = regions.spread(regions.with_region(asked, limit_m, 0.0), edges=rails)
     inside = regions.edges_in(placed, rails)
     # Without the places of nodes no way counts as a detour.
     found = solve.solve_wave(placed.drop("x0", "x1", "y0", "y1"), inside.drop("src_lon", "src_lat", "dst_lon", "dst_lat"))
