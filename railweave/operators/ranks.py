@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..checkpoints import stored
 
 
-def ranked(rows: DataFrame, keys: list[str], order: list[str], into: str = "place", store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
-    """`rows` with their place, from 1, among those of equal `keys`, by the columns `order` (nulls first).
+def ranked(rows: DataFrame, keys: list[str], order: list[str], into: str = "place", store: Callable[[DataFrame], DataFrame] = stored, total: str | None = None) -> DataFrame:
+    """`rows` with their place, from 1, among those of equal `keys`, by the columns `order` (nulls first); `total`: a column for how many these are.
 
     Rows are dealt to ranges of (keys, order), so a large group is spread over many tasks;
     each range is sorted by itself, and only how many rows of a key it has is summed over
@@ -21,7 +21,8 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str], into: str = "plac
     dealt = store(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
     runs = dealt.groupBy("_part", *keys).agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    told = runs.select(F.col("_part").alias("_p"), *(F.col(k).alias(f"_k_{n}") for n, k in enumerate(keys)), (before - F.col("_least") + 1).alias("_shift"))
+    sums = {total: F.sum("_n").over(Window.partitionBy(*keys))} if total else {}
+    told = runs.select(*(c.alias(name) for name, c in sums.items()), F.col("_part").alias("_p"), *(F.col(k).alias(f"_k_{n}") for n, k in enumerate(keys)), (before - F.col("_least") + 1).alias("_shift"))
     same = F.col("_part") == F.col("_p")
     for n, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k_{n}"))

@@ -4,18 +4,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import haversine_m, offset_degrees, offset_path, tile_x, tile_y
 from ..functions.text import hex_to_rgb
+from .ranks import ranked
 
 
 def shared_segments(segments: DataFrame) -> DataFrame:
     """(seg_key, train_id, trains, slot): how many trains share a segment, and which of them each is.
 
     segments: (train_id, train_ord, seg_key). slot counts trains by their order; it is 0 on
-    segments of one train.
+    segments of one train. A segment may have any share of the trains: places come from ranges, not from a window by segment.
     """
     once = segments.groupBy("seg_key", "train_id").agg(F.min("train_ord").alias("train_ord"))
-    counts = once.groupBy("seg_key").agg(F.count("*").alias("trains"))
-    slot = F.dense_rank().over(Window.partitionBy("seg_key").orderBy("train_ord", "train_id")) - 1
-    return once.withColumn("slot", slot).join(counts, "seg_key").select("seg_key", "train_id", "trains", F.when(F.col("trains") > 1, F.col("slot")).otherwise(0).alias("slot"))
+    placed = ranked(once, ["seg_key"], ["train_ord", "train_id"], "_place", total="trains")
+    return placed.select("seg_key", "train_id", "trains", F.when(F.col("trains") > 1, F.col("_place") - 1).otherwise(0).cast("int").alias("slot"))
 
 
 def first_occurrences(segments: DataFrame) -> DataFrame:
