@@ -510,25 +510,54 @@ def unknown_props(spark, d):
     return table(spark, d, "events").select("event_id", F.when(F.col("event_type") < "m", told(["k", "x"])).otherwise(told(["x"])).alias("unknown"))
 
 
-# Without a twin in SQL: held against brute force and fixtures in the tests.
-
-
-@query()
+def _off_sql(i: str, a: str, b: str) -> str:
+    """Distance of the point `i` of a list `q` of planar points from the stretch between the points `a` and `b`."""
+    x, y, dx, dy = f"(q[{i}][1] - q[{a}][1])", f"(q[{i}][2] - q[{a}][2])", f"(q[{b}][1] - q[{a}][1])", f"(q[{b}][2] - q[{a}][2])"
+    on = f"CASE WHEN {dx} * {dx} + {dy} * {dy} > 0 THEN greatest(0, least(1, ({x} * {dx} + {y} * {dy}) / ({dx} * {dx} + {dy} * {dy}))) ELSE 0 END"
+    return f"sqrt(pow({x} - ({on}) * {dx}, 2) + pow({y} - ({on}) * {dy}, 2))"
+
+
+@query(f""", pl AS (SELECT train_id, list([(lon * cos(radians(lat0))) * 111320.0::DOUBLE, lat * 110540.0::DOUBLE] ORDER BY idx) AS q FROM (SELECT *, first_value(lat) OVER (PARTITION BY train_id ORDER BY idx) AS lat0 FROM ps) GROUP BY train_id),
+ct AS (
+  SELECT train_id, 1 AS a, len(q) AS b FROM pl WHERE len(q) > 2
+  UNION ALL SELECT train_id, u[1] AS a, u[2] AS b FROM (
+    SELECT train_id, unnest([[a, a + list_position(far, list_max(far))], [a + list_position(far, list_max(far)), b]]) AS u FROM (
+      SELECT ct.train_id, a, b, [{_off_sql('i', 'a', 'b')} for i in range(a + 1, b)] AS far FROM ct JOIN pl ON ct.train_id = pl.train_id WHERE b - a > 1) WHERE list_max(far) > 500))
+SELECT pl.train_id, CAST(len(q) AS INTEGER) AS points, CAST(CASE WHEN len(q) < 3 THEN len(q) ELSE n + 1 END AS INTEGER) AS kept FROM pl LEFT JOIN (SELECT train_id, count(*) AS n FROM (
+  SELECT train_id, a, b FROM ct EXCEPT SELECT c.train_id, c.a, c.b FROM ct c JOIN ct d ON c.train_id = d.train_id AND d.a >= c.a AND d.b <= c.b AND (d.a > c.a OR d.b < c.b)) GROUP BY train_id) k ON pl.train_id = k.train_id""", recursive=True)
 def simplify_path(spark, d):
     rows = placed_stops(spark, d).groupBy("train_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "lon", "lat"))), lambda x: F.struct(x["lon"], x["lat"])).alias("p"))
     return rows.select("train_id", F.size("p").alias("points"), F.size(geo.simplify_path(F.col("p"), 500.0)).alias("kept"))
 
 
-@query()
+def _foot_sql(name: str, a: tuple[str, str], b: tuple[str, str], p: tuple[str, str]) -> str:
+    """Columns `name`_t and `name`_off: where along a stretch the foot of a point lies, and how far off the point is."""
+    scale = f"(cos(radians(({a[1]} + {b[1]}) / 2)) * 111320.0::DOUBLE)"
+    px, py, dx, dy = f"(({p[0]} - {a[0]}) * {scale})", f"(({p[1]} - {a[1]}) * 110540.0::DOUBLE)", f"(({b[0]} - {a[0]}) * {scale})", f"(({b[1]} - {a[1]}) * 110540.0::DOUBLE)"
+    t = f"CASE WHEN {dx} * {dx} + {dy} * {dy} > 0 THEN ({px} * {dx} + {py} * {dy}) / ({dx} * {dx} + {dy} * {dy}) ELSE 0 END"
+    on = f"greatest(0, least(1, {t}))"
+    return f"{t} AS {name}_t, sqrt(pow({px} - {on} * {dx}, 2) + pow({py} - {on} * {dy}, 2)) AS {name}_off"
+
+
+@query(f""", g AS (SELECT *, a_lon + 0.002::DOUBLE AS s_lon, b_lon + 0.002::DOUBLE AS e_lon FROM hop),
+h AS (SELECT *, one_t BETWEEN -0.02 AND 1.02 AND one_off <= 45 AS cut FROM (SELECT *, {_foot_sql('one', ('a_lon', 'a_lat'), ('b_lon', 'b_lat'), ('s_lon', 'a_lat'))} FROM g)),
+i AS (SELECT *, CASE WHEN cut THEN s_lon ELSE a_lon END AS n_lon FROM h),
+j AS (SELECT *, {_foot_sql('near', ('b_lon', 'b_lat'), ('n_lon', 'a_lat'), ('e_lon', 'b_lat'))}, {_foot_sql('far', ('a_lon', 'a_lat'), ('s_lon', 'a_lat'), ('e_lon', 'b_lat'))} FROM i),
+k AS (SELECT *, near_t BETWEEN -0.02 AND 1.02 AND near_off <= 45 AS near_ok, NOT cut AND far_t BETWEEN -0.02 AND 1.02 AND far_off <= 45 AS far_ok FROM j)
+SELECT src AS section_id, CAST(CASE WHEN near_ok AND (NOT far_ok OR near_off <= far_off) THEN 0 WHEN far_ok THEN -1 ELSE 1 END + CASE WHEN cut THEN 2 ELSE 3 END AS INTEGER) AS points FROM k""")
 def trim_path(spark, d):
     p, s = F.col("points"), F.transform(F.col("points"), lambda x: F.struct(x["lon"], x["lat"]))
     near = lambda k: F.struct((p[k]["lon"] + 0.002).alias("lon"), p[k]["lat"].alias("lat"))
     return line_hops(spark, d).select("section_id", F.size(geo.trim_path(s, near(0), near(1))).alias("points"))
 
 
-@query()
+@query(""" SELECT station_id, 'st' || CAST(station_id % 331 AS VARCHAR) || CASE station_id % 4 WHEN 1 THEN 'ケ浦' WHEN 2 THEN 'JR' WHEN 3 THEN 'ガ' ELSE '' END AS normalized FROM st""")
 def nfkc_names(spark, d):
-    return text.normalized_names(stations(spark, d).select("station_id", "name"), "name", "normalized")
+    """Names in full width, with small kana, and with marks of their own, as they are compared."""
+    k = F.col("station_id")
+    wide = F.when(k % 2 == 1, F.translate("name", "st0123456789", "ｓｔ０１２３４５６７８９")).otherwise(F.col("name"))
+    more = F.when(k % 4 == 1, "ヶ浦").when(k % 4 == 2, " ＪＲ ").when(k % 4 == 3, "ｶﾞ").otherwise("")
+    return text.normalized_names(stations(spark, d).select("station_id", F.concat(wide, more).alias("name")), "name", "normalized").select("station_id", "normalized")
 
 
 @query(""", ev AS (SELECT 'odr_' || CAST(user_id % 20 AS VARCHAR) AS base, event_id % 4 = 0 AS numbered, event_id AS ord FROM events),
