@@ -216,6 +216,7 @@ def test_route_cache(spark, tmp_path):
     assert stores.read_cache(spark, path, "h1") is None
     stores.write_cache(spark.createDataFrame([("k", 1.0), ("l", 2.0)], "route_key string, cost double"), path, "h1")
     stores.write_cache(spark.createDataFrame([("k", 9.0)], "route_key string, cost double"), path, "h2")
+    stores.write_cache(spark.createDataFrame([("k", 0.5), ("l", 7.0)], "route_key string, cost double"), path, "h1")
     assert rows(stores.read_cache(spark, path, "h1")) == [("k", 1.0), ("l", 2.0)] and rows(stores.read_cache(spark, path, "h2")) == [("k", 9.0)]
 
 
