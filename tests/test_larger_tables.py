@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from railweave.functions.geo import haversine_m
-from railweave.operators import resolve, route
+from railweave.operators import documents, resolve, route, solve
 
 
 def test_near_nodes_reads_no_crowd(spark):
@@ -27,3 +27,25 @@ def test_all_nodes_near_a_station_count(spark):
     station = spark.range(1).selectExpr("id AS station_id", "array(named_struct('lon_e5', 13000010L, 'lat_e5', 3500010L)) AS vertices")
     assert route.station_nodes(station, nodes, most=None).count() == 400
     assert route.station_nodes(station, nodes).count() == route.SNAP_NODES
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_attempts_are_told_within_a_row(spark):
+    none = "CAST(array() AS array<string>)"
+    hints = spark.range(2).selectExpr("id AS section_id", f"{none} AS explicit_lines", f"{none} AS explicit_operators", f"IF(id = 0, array('b', 'a'), {none}) AS common_lines", f"{none} AS common_operators")
+    ladder = solve.attempt_ladder(hints)
+    assert "Exchange" not in plan(ladder)
+    got = sorted((r["section_id"], r["attempt"], r["mode"], tuple(r["req_lines"])) for r in ladder.collect())
+    assert got == [(0, 1, solve.COMMON_LINE_HOME, ("a", "b")), (0, 3, solve.HOME, ()), (0, 4, solve.COMMON_LINE_SOFT, ("a", "b")), (0, 5, solve.SOFT, ()), (0, 7, solve.UNBIASED, ()), (1, 3, solve.HOME, ()), (1, 6, solve.SOFT_WITHOUT_COMMON, ()), (1, 7, solve.UNBIASED, ())]
+
+
+def test_documents_are_read_once(spark):
+    raws = [(1, '{"id":"a"}'), (2, '{"id":"a"}'), (3, '{"name":"x"}'), (4, '{"name":"x"}'), (5, '{"id":""}'), (6, '{"id":""}'), (7, "[1]"), (8, "{"), (9, " \n{}")]
+    sent = spark.createDataFrame([("s", ord, raw) for ord, raw in raws], "source string, ord bigint, raw string")
+    found = documents.violations(sent)
+    assert plan(found).count("Scan ExistingRDD") == 1
+    rules = {(r["ord"], r["rule"]) for r in found.collect()}
+    assert {o for o, rule in rules if rule == "id_repeated"} == {2} and {o for o, rule in rules if rule == "not_an_object"} == {7, 8}
