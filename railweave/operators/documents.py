@@ -96,15 +96,18 @@ def violations(documents: DataFrame, rules: Callable[[Column], dict[str, Column]
     A text that is no JSON object breaks `not_an_object` alone; of trains of one id in a
     source, all but the first break `id_repeated`.
     """
-    parsed = documents.select("source", "ord", F.try_parse_json("raw").alias("_v"))
+    # A text that parses is an object if it begins as one.
+    parsed = documents.select("source", "ord", F.try_parse_json("raw").alias("_v"), F.col("raw").rlike(r"^[ \t\r\n]*\{").alias("_begins"))
     named = F.when(F.col("_t.id").startswith('"'), F.try_variant_get(F.col("_v"), "$.id", "string"))
-    read = parsed.withColumn("_t", train_parts(F.col("_v"))).select("source", "ord", "_t", named.alias("id"), F.schema_of_variant("_v").startswith("OBJECT").alias("_object"))
+    read = parsed.withColumn("_t", train_parts(F.col("_v"))).select("source", "ord", "_t", named.alias("id"), (F.col("_v").isNotNull() & F.col("_begins")).alias("_object"))
     broken = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules(F.col("_t")).items())))
     no_object = ~F.coalesce("_object", F.lit(False))
-    one = read.select("source", "ord", "id", F.explode(F.when(no_object, F.array(F.lit("not_an_object"))).otherwise(broken)).alias("rule"))
-    again = F.row_number().over(Window.partitionBy("source", "id").orderBy("ord"))
-    repeated = read.select("source", "ord", "id").where("id <> ''").withColumn("_k", again).where("_k > 1").select("source", "ord", "id", F.lit("id_repeated").alias("rule"))
-    return one.unionByName(repeated)
+    judged = read.select("source", "ord", "id", F.when(no_object, F.array(F.lit("not_an_object"))).otherwise(broken).alias("_rules"))
+    # Only ids and rules are dealt out, so each document is read once; those without an id are dealt one by one.
+    alone = F.when(F.coalesce(F.col("id"), F.lit("")) == "", F.col("ord"))
+    again = F.row_number().over(Window.partitionBy("source", "id", alone).orderBy("ord")) > 1
+    more = F.when(F.col("_again") & (F.col("id") != ""), F.array_append("_rules", F.lit("id_repeated"))).otherwise(F.col("_rules"))
+    return judged.withColumn("_again", again).select("source", "ord", "id", F.explode(more).alias("rule"))
 
 
 def valid_only(documents: DataFrame, rules: Callable[[Column], dict[str, Column]] = document_rules) -> DataFrame:
