@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from railweave.functions.geo import haversine_m
-from railweave.operators import documents, resolve, route, solve
+from railweave.operators import documents, pairs, resolve, route, solve
 
 
 def test_near_nodes_reads_no_crowd(spark):
@@ -49,3 +49,17 @@ def test_documents_are_read_once(spark):
     assert plan(found).count("Scan ExistingRDD") == 1
     rules = {(r["ord"], r["rule"]) for r in found.collect()}
     assert {o for o, rule in rules if rule == "id_repeated"} == {2} and {o for o, rule in rules if rule == "not_an_object"} == {7, 8}
+
+
+def test_pairs_of_a_hot_key_are_dealt(spark):
+    left, right = spark.range(50).selectExpr("id AS a", "IF(id < 45, 'hot', 'cold') AS k"), spark.range(70).selectExpr("id AS b", "IF(id < 60, 'hot', 'cold') AS k")
+    found = pairs.met(left, right, "k", "a", "b", pairs_a_task=100)
+    assert found.count() == found.distinct().count() == 45 * 60 + 5 * 10
+    assert found.groupBy(F.spark_partition_id()).count().agg({"count": "max"}).first()[0] < 45 * 60 / 2
+
+
+def test_endpoints_across_the_date_line_are_near(spark):
+    s = spark.createDataFrame([(1, 1, "a", "2", 179.999, 10.0), (2, 2, "a", "1", -179.999, 10.0), (3, 3, "a", "1", 0.0, 10.0)], "station_id bigint, ord bigint, norm_name string, institution string, lon double, lat double")
+    c = spark.createDataFrame([(7, "a", 1, 1)], "stop_id bigint, norm_name string, station_id bigint, ord bigint")
+    found = resolve.expand_endpoint(c, s, ["1"])
+    assert sorted((r["place"], r["station_id"]) for r in found.collect()) == [(1, 2), (2, 1)]
