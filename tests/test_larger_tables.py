@@ -63,3 +63,27 @@ def test_endpoints_across_the_date_line_are_near(spark):
     c = spark.createDataFrame([(7, "a", 1, 1)], "stop_id bigint, norm_name string, station_id bigint, ord bigint")
     found = resolve.expand_endpoint(c, s, ["1"])
     assert sorted((r["place"], r["station_id"]) for r in found.collect()) == [(1, 2), (2, 1)]
+
+
+def test_nodes_near_stations_go_through_no_driver(spark):
+    """Small tables too: neither points nor nodes, nor stations of a snap, are sent to every task; the result is that of brute force."""
+    nodes = spark.range(900).selectExpr("id AS node_id", "13000000 + (id * 37) % 2000 AS lon_e5", "3500000 + (id * 101) % 1500 AS lat_e5").localCheckpoint()
+    stations = spark.range(30).selectExpr("id AS station_id", "array(named_struct('lon_e5', 13000000 + id * 61, 'lat_e5', 3500000 + id * 47), named_struct('lon_e5', 13000000 + id * 60, 'lat_e5', 3500100 + id * 47)) AS vertices").localCheckpoint()
+    near = route.station_nodes(stations, nodes, most=None)
+    points = stations.selectExpr("station_id", "inline(vertices)").selectExpr("station_id", "lon_e5 AS a", "lat_e5 AS b")
+    far = points.crossJoin(nodes).select("station_id", "node_id", haversine_m(F.col("a") / 100000, F.col("b") / 100000, F.col("lon_e5") / 100000, F.col("lat_e5") / 100000).alias("m")).where(F.col("m") <= route.SNAP_M)
+    rows = lambda found: sorted((r["station_id"], r["node_id"], round(r["m"], 6)) for r in found.collect())
+    assert rows(near.withColumnRenamed("metres", "m")) == rows(far.groupBy("station_id", "node_id").agg(F.min("m").alias("m"))) != []
+    none = "CAST(array() AS array<string>)"
+    asked = spark.range(20).selectExpr("id AS ask_id", "array(named_struct('station_id', id, 'place', 1), named_struct('station_id', id + 1, 'place', 2)) AS stations", f"{none} AS req_lines", f"{none} AS req_operators", "array('a') AS pref_lines", f"{none} AS pref_operators", "array('1') AS allowed", "false AS home")
+    meta = nodes.selectExpr("node_id AS node", "array(IF(node_id % 2 = 0, 'a', 'b')) AS lines", "array('x') AS operators", "array('1') AS institutions")
+    told = route.snapped(asked, near, stations.selectExpr("station_id", "'a' AS line", "'x' AS operator"), meta, per_station=None, per_endpoint=None)
+    assert "Broadcast" not in plan(near) and "Broadcast" not in plan(told)
+    ends = {r["ask_id"]: r["ends"] for r in told.collect()}
+    want = {}
+    for r in near.collect():
+        for ask, place in ((r["station_id"], 1), (r["station_id"] - 1, 2)):
+            if 0 <= ask < 20:
+                want[ask, r["node_id"]] = min(want.get((ask, r["node_id"]), (9,)), (place, r["metres"]))
+    assert {(a, e["node"], e["snap_m"]) for a, found in ends.items() for e in found} == {(a, n, m) for (a, n), (_, m) in want.items()}
+    assert all([e["node"] % 2 for e in found] == sorted(e["node"] % 2 for e in found) for found in ends.values())
