@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from railweave.functions.geo import haversine_m
-from railweave.operators import documents, pairs, resolve, route, solve
+from railweave.operators import documents, pairs, regions, resolve, route, solve
 
 
 def test_near_nodes_reads_no_crowd(spark):
@@ -87,3 +87,27 @@ def test_nodes_near_stations_go_through_no_driver(spark):
                 want[ask, r["node_id"]] = min(want.get((ask, r["node_id"]), (9,)), (place, r["metres"]))
     assert {(a, e["node"], e["snap_m"]) for a, found in ends.items() for e in found} == {(a, n, m) for (a, n), (_, m) in want.items()}
     assert all([e["node"] % 2 for e in found] == sorted(e["node"] % 2 for e in found) for found in ends.values())
+
+
+def test_edges_of_a_line_are_hardly_copied(spark):
+    """Two lines in one box: each stretch has the hops that its sections need, and few more."""
+    at = spark.range(2000).selectExpr("IF(id < 1500, 'a', 'b') AS chain", "IF(id < 1500, id, id - 1500) + 1 AS place", "id")
+    sections, edges = regions.along(at.withColumnRenamed("id", "section_id"), at.selectExpr("chain", "place", "id AS src", "id + 1 AS dst"), 9, 100)
+    copies = edges.collect()
+    held = {(r["region"], r["src"]) for r in copies}
+    assert len(held) == len(copies) and len(copies) < 2000 * 1.15
+    last = {r["id"]: 1500 if r["chain"] == "a" else 2000 for r in at.collect()}
+    for r in sections.collect():
+        assert all((r["region"], k) in held for k in range(r["section_id"], min(r["section_id"] + 9, last[r["section_id"]])))
+
+
+def test_line_paths_share_out_a_crowded_box(spark):
+    from railweave.plans import queries
+
+    copies, solved = [], solve.solve_wave
+    solve.solve_wave = lambda rows, edges, **more: copies.append(edges.count()) or solved(rows, edges, **more)
+    try:
+        got = queries.line_path_cost(spark, "/root/testdata/sf0.01").count()
+    finally:
+        solve.solve_wave = solved
+    assert got == 1475 and copies == [2950]
