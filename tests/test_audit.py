@@ -140,3 +140,28 @@ def test_solving_with_and_without_connectors(spark):
     both = [r for r in got.values() if r["with_m"] is not None and r["without_m"] is not None]
     assert totals["sections"] == 40 and totals["lost"] == sum(r["outcome"] == "lost" for r in got.values())
     assert abs(totals["change"] - (sum(r["without_m"] for r in both) / sum(r["with_m"] for r in both) - 1)) < 1e-9
+
+
+def test_components_in_one_box_are_packed(spark, monkeypatch):
+    """Each edge goes to one task, however many components share a box; large ones are cut, and all ways are those of brute force."""
+    at, edges = network(3)
+    rails = [e for e in edges if not e[6]]
+    parts = brute_components([e[:2] for e in rails])
+    ends = sorted(parts)
+    chords = [(k, a, b) for k, (a, b) in enumerate((a, b) for a in ends[:40] for b in ends if b > a and parts[a] == parts[b])]
+    told = spark.createDataFrame(sorted(parts.items()), "node bigint, component bigint")
+    held, solved = [], audit.solve.solve_wave
+
+    def watched(rows, inside):
+        held.append({r["region"]: r["count"] for r in inside.groupBy("region").count().collect()})
+        return solved(rows, inside)
+
+    monkeypatch.setattr(audit.solve, "solve_wave", watched)
+    for pack in (10_000, 40, 1):
+        found = audit.rail_ways(spark.createDataFrame(chords, "chord_id bigint, src bigint, dst bigint"), spark.createDataFrame(rails, COLUMNS).localCheckpoint(), 9_000.0, told, pack)
+        got = {r["chord_id"]: r["rail_m"] for r in found.collect()}
+        want = {k: shortest(rails, a)[b] for k, a, b in chords}
+        assert set(got) == {k for k, m in want.items() if m <= 9_000.0} and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+    whole = len([e for e in rails if parts[e[0]] in {parts[a] for _, a, _ in chords}])
+    assert list(held[0].values()) == [whole] and all(k.startswith("pack") for k in held[0])
+    assert any(";" in k for k in held[2])
